@@ -44,7 +44,7 @@ from .suffixes import repeated_suffixes
 #: Distinct contents of one anchor that a task resolves together, some 300 bytes each.
 HOT = 20_000
 #: Bytes of run contents that a task resolves at a time, unless one anchor has more.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 NO_ID = -(2**63)
 RESULT = ("n_units", "n_removed", "n_spans", "kept", "kept_sha256")
 
@@ -82,9 +82,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """Rows sorted by anchor, in tables that hold all rows of each anchor and about `most` bytes of content."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in pieces(batches, "content", most):
         held.append(b)
         size += b["content"].nbytes
         if size < most:
@@ -94,7 +92,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         cut = int(np.searchsorted(anchor, anchor[-1], side="left"))
         if cut:
             yield t.slice(0, cut)
-            held, size = t.slice(cut).to_batches(), 0
+            held = t.slice(cut).to_batches()
             size = sum(x["content"].nbytes for x in held)
     if held:
         yield pa.Table.from_batches(held)
