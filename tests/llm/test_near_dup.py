@@ -66,6 +66,7 @@ def corpus(seed):
 def test_matches_brute_force(spark, size, percent, block, fan, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "FAN", fan)
+    monkeypatch.setattr(near_dup, "FAMILY_BLOCK", fan)
     rows = corpus(size + percent)
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), size, percent)
     assert out.columns == ["doc_id", "n", "rest", "n_shingles", "component_id", "kept"]

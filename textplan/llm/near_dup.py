@@ -9,11 +9,13 @@
    least class of the bucket only; the packed bits' estimate of similarity,
    corrected for chance collisions of b bits, drops pairs far below the
    threshold, and the rest are confirmed on the full sets.
-4. Components of the confirmed links are found with tables. Whatever pairs of a
-   bucket are still in different components are estimated and confirmed as
-   well, in blocks of bounded size, and components are found again. Pairs
-   within a component need no check, so a bucket of thousands of copies costs
-   one pair for each, and no link between components is lost.
+4. Components of the confirmed links are found with tables. Members of a bucket
+   that are still in different components and whose estimate allows a link are
+   gathered into families, and all pairs of a family across components are
+   confirmed on the full sets, in blocks of bounded size, as products of 0/1
+   matrices; components are then found again. Pairs are not written out, and
+   pairs within a component need no check, so no link between components is
+   lost and a bucket of thousands of copies costs one pair for each.
 
 At similarity s a pair shares no band with probability (1 - s^ROWS)^BANDS,
 6e-11 at 0.85 and 5e-8 at 0.8; the estimate is trusted to six standard errors.
@@ -47,6 +49,8 @@ HASHES = BANDS * ROWS
 BLOCK = 1024
 #: Members that one copy of a bucket's first class is compared with.
 FAN = 512
+#: Documents, and shingles of theirs, of a family in one block.
+FAMILY_BLOCK, FAMILY_SHINGLES = 512, 400_000
 RESULT = ("n_shingles", "component_id", "kept")
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _FOLD = np.random.default_rng(8).integers(1, 2**63, ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -134,52 +138,112 @@ def _confirm(size: int, percent: int):
     return go
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each group, from batches sorted by these integer columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        ids = np.stack([b[c].to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and last != ids[s].tolist():
+                yield held
+                held = []
+            held.append(b.slice(s, e - s))
+            last = ids[s].tolist()
+    if held:
+        yield held
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare: a block with itself, or two blocks."""
+    left = np.flatnonzero(side <= 0)
+    return left, np.flatnonzero(side > 0) if (side > 0).any() else left
+
+
 def _across(threshold: float):
-    """For rows sorted by (key, i, j): pairs of different components that may be similar enough."""
+    """For rows sorted by (key, i, j): members that may be similar enough to one of another component.
+
+    Each comes with its component and one that its component then belongs with.
+    """
     least, chance = least_estimate(threshold), 2.0**-BITS
     low = U(sum(1 << i for i in range(0, 64, BITS)))
 
-    def pairs(t: pa.Table) -> np.ndarray:
-        cls, comp, n, side = (t[c].to_numpy() for c in ("cls", "component", "n", "side"))
-        bits = np.stack(t["bits"].combine_chunks().values.to_numpy().view(U).reshape(t.num_rows, -1))
-        left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side != 0) if (side > 0).any() else left
-        found = []
-        for x in left:
-            other = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]) - 1e-9)]
-            d = bits[other] ^ bits[x]
-            f = d.copy()
-            for i in range(1, BITS):
-                f |= d >> U(i)
-            same = 1 - np.bitwise_count(f & low).sum(1) / HASHES
-            other = other[(same - chance) / (1 - chance) >= least]
-            found.append(np.stack([np.minimum(cls[x], cls[other]), np.maximum(cls[x], cls[other])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_group(batches, ("key", "i", "j")):
+            t = pa.Table.from_batches(held)
+            cls, comp, n, side = (t[c].to_numpy() for c in ("cls", "component", "n", "side"))
+            bits = t["bits"].combine_chunks().flatten().to_numpy().view(U).reshape(t.num_rows, -1)
+            left, right = _sides(side)
+            touched = np.zeros(t.num_rows, dtype=bool)
+            root = comp.copy()
+            for x in left:
+                other = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]) - 1e-9)]
+                d = bits[other] ^ bits[x]
+                f = d.copy()
+                for i in range(1, BITS):
+                    f |= d >> U(i)
+                same = 1 - np.bitwise_count(f & low).sum(1) / HASHES
+                other = other[(same - chance) / (1 - chance) >= least]
+                if len(other):
+                    touched[x] = touched[other] = True
+                    root[np.isin(root, root[other])] = root[x]
+            at = np.flatnonzero(touched)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(comp[at]), pa.array(root[at])], names=["cls", "component", "root"])
+
+    return go
+
+
+def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of left and right sets, as products of 0/1 matrices over values that two sets hold."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(sets), min(4096, int(often.sum()) - lo)), dtype=np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _confirm_family(size: int, percent: int):
+    """For rows sorted by (family, i, j): links between components, confirmed on full sets, one for each two components that meet."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            p = pairs(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.stack([b[c].to_numpy() for c in ("key", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                part = b.slice(s, e - s)
-                if held and [held[-1][c][0].as_py() for c in ("key", "i", "j")] != ids[s].tolist():
-                    yield flush()
-                    held = []
-                held.append(part)
-        if held:
-            yield flush()
+        for held in _by_group(batches, ("family", "i", "j")):
+            t = pa.Table.from_batches(held)
+            cls, root, side = (t[c].to_numpy().copy() for c in ("cls", "component", "side"))
+            sets = [s for b in pieces(iter(held)) for s in shingle_sets(b["text"], size)]
+            left, right = _sides(side)
+            n = np.array([len(s) for s in sets])
+            both = _shared_counts(sets, left, right)
+            linked = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+            out = []
+            for i, x in enumerate(left):
+                other = right[linked[i]]
+                for r in np.unique(root[other]):
+                    if r != root[x]:
+                        out.append((cls[x], cls[other[root[other] == r][0]]))
+                        root[root == r] = root[x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return go
 
 
+def _in_blocks(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows with `blocks` dealt to pairs of blocks (i <= j) of their group; side tells which block a row is of (0: i is j)."""
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    spread = members.select(group, *columns, block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return spread.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns, F.expr("case when block = other then 0 when block < other then -1 else 1 end").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of `size`-word shingles have a Jaccard similarity of percent/100 or more.
 
@@ -211,35 +275,37 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         return pairs.join(one, "a").join(two, "b").where(close).select("a", "b").distinct()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    round_ = 0
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        nonlocal round_
-        round_ += 1
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
         dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"))
         own = fan.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
         wanted = dealt.select(F.col("b").alias("id"), "a", "b", "salt").unionByName(own.select(F.col("a").alias("id"), "a", "b", "salt"))
         both = texts.join(wanted, "id").select("a", "salt", "b", "text")
         both = both.repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return scratch.keep(f"links-{round_}", both.mapInArrow(_confirm(size, percent), "a long, b long"))
+        return scratch.keep("links", both.mapInArrow(_confirm(size, percent), "a long, b long"))
 
     pairs = scratch.keep("pairs", likely(bucket.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()))
     links = confirm(pairs)
     labels = components(links, scratch, "first")
 
-    # Pairs of one bucket that are still apart.
+    # Members of one bucket that are still apart.
     member = bucket.join(labels, bucket.cls == labels.node, "left").select("key", "cls", "in_bucket", F.coalesce("component", "cls").alias("component"))
     apart = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("in_bucket").alias("of")).where("lo <> hi").select("key", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
-    spread = member.select("key", "cls", "component").join(apart, "key").join(lean, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    spread = spread.select("key", "cls", "component", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "component", "n", "bits", F.expr("case when block = other then 0 when block < other then -1 else 1 end").alias("side"))
-    # A block meets itself and each other; the rows of block x for (x, y) come with side -1 or 1, those of (x, x) with 0.
-    still = spread.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long").distinct()
-    still = scratch.keep("still", still.join(pairs, ["a", "b"], "left_anti"))
+    spread = _in_blocks(member.select("key", "cls", "component").join(apart, "key").join(lean, "cls"), "key", ["cls", "component", "n", "bits"])
+    spread = spread.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    still = scratch.keep("still", spread.mapInArrow(_across(threshold), "cls long, component long, root long"))
     if not still.isEmpty():
-        more = confirm(still)
-        labels = components(links.unionByName(more), scratch, "second")
+        # Families of components with likely pairs; their members are compared once, whatever buckets they share.
+        family = components(still.select(F.col("component").alias("a"), F.col("root").alias("b")).distinct(), scratch, "families").select("node", F.col("component").alias("family"))
+        mine = still.select("cls", "component").distinct().join(family, F.col("component") == F.col("node")).join(lean.select("cls", "n"), "cls").select("cls", "component", "family", "n")
+        size_of = mine.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("family", F.ceil(F.greatest(F.col("m") / FAMILY_BLOCK, F.col("total") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
+        rows = _in_blocks(mine.join(size_of, "family"), "family", ["cls", "component"])
+        rows = texts.join(rows, texts.id == rows.cls).select("family", "i", "j", "cls", "component", "side", "text")
+        rows = rows.repartition(n_parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+        more = scratch.keep("links-across", rows.mapInArrow(_confirm_family(size, percent), "a long, b long"))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), scratch, "second")
     named = scratch.keep("named", classes.select("digest", "cls").join(labels, classes.cls == labels.node, "left").select("digest", F.coalesce("component", "cls").alias("component")))
     scratch.drop("classes", "bucket", "pairs", "still")
     out = signed.select("rest", "id", "n", "digest").join(named, "digest", "left")
