@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._text import ALNUM, Words, flat, hash_words, pieces, prefix, sliding_hash
+from ._text import ALNUM, Words, flat, hash_words, pieces
 from .fm_index import FMIndex
 
 #: Words of benchmark items that one pass searches for.
