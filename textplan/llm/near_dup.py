@@ -274,7 +274,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         two = lean.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
         return pairs.join(one, "a").join(two, "b").where(close).select("a", "b").distinct()
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    # One join fetches the texts of all candidates, by sort and merge at any size; both confirmations read what it wrote.
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = scratch.keep("texts", every.hint("merge").join(bucket.select(F.col("cls").alias("id")).distinct(), "id", "left_semi"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
@@ -307,7 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "second")
     named = scratch.keep("named", classes.select("digest", "cls").join(labels, classes.cls == labels.node, "left").select("digest", F.coalesce("component", "cls").alias("component")))
-    scratch.drop("classes", "bucket", "pairs", "still")
+    scratch.drop("classes", "bucket", "pairs", "still", "texts")
     out = signed.select("rest", "id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(*[F.col(f"rest.`{f.name}`") for f in fields], F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
