@@ -51,9 +51,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur elsewhere are cut out; characters cut in half go whole."""
-    found = repeats.suffix_array_dedup(docs, width=200)
-    kept = F.when(F.col("n_units") > 0, F.expr("regexp_replace(decode(kept, 'UTF-8'), '\\uFFFD', '')"))
-    return _with_text(found, kept)
+    found = repeats.suffix_array_dedup(docs, width=200, as_text=True)
+    return _with_text(found, F.col("kept"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

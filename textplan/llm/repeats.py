@@ -138,7 +138,7 @@ def _explode_windows(unit: Unit):
     return go
 
 
-def _cut(unit: Unit, names: list[str]):
+def _cut(unit: Unit, names: list[str], as_text: bool):
     """Texts without their spans."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +167,15 @@ def _cut(unit: Unit, names: list[str]):
                     units.append(hi - lo)
                     removed.append(int((~keep).sum()))
                 n_spans.append(n)
-                kept.append(data)
+                kept.append(data.decode("utf-8", "ignore") if as_text else data)
                 sha.append(hashlib.sha256(data).hexdigest())
             rest = [b[c] for c in b.schema.names if c not in ("spans", "text")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(units, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(units, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())], names=names)
 
     return go
 
 
-def _dedup(docs: DataFrame, unit: Unit, resolver: Resolver, name: str, id_col: str, text_col: str) -> DataFrame:
+def _dedup(docs: DataFrame, unit: Unit, resolver: Resolver, name: str, id_col: str, text_col: str, as_text: bool) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, name)
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("tx")]
@@ -205,28 +205,30 @@ def _dedup(docs: DataFrame, unit: Unit, resolver: Resolver, name: str, id_col: s
 
     carry = [f for f in docs.schema.fields if f.name not in RESULT and f.name != text_col]
     rest = docs.select(*key, F.struct(*[F.col(f"`{f.name}`") for f in carry], F.lit(0).alias("_")).alias("rest"), F.col(text_col).cast("string").alias("text"))
-    schema = rest.drop("id", "tx", "text").schema.add("n_units", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add("kept_sha256", "string")
-    out = rest.join(spans, ["id", "tx"], "left").select("rest", "text", "spans").mapInArrow(_cut(unit, schema.names), schema)
+    schema = rest.drop("id", "tx", "text").schema.add("n_units", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary").add("kept_sha256", "string")
+    out = rest.join(spans, ["id", "tx"], "left").select("rest", "text", "spans").mapInArrow(_cut(unit, schema.names, as_text), schema)
     return out.select(*[F.col(f"rest.`{f.name}`") for f in carry], *RESULT)
 
 
-def suffix_array_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Remove every byte in a `width`-byte string that also starts elsewhere, by deep-shallow suffix sorting.
 
     Returns the other columns of `docs` and: n_units (bytes), n_removed,
     n_spans (maximal removed runs), kept (the bytes that stay), kept_sha256.
+    With `as_text`, kept is a string; characters of which a part was removed
+    are left out of it.
     """
-    return _dedup(docs, Unit(False, width, max(1, min(32, width // 2))), repeated_suffixes, "suffix-array", id_col, text_col)
+    return _dedup(docs, Unit(False, width, max(1, min(32, width // 2))), repeated_suffixes, "suffix-array", id_col, text_col, as_text)
 
 
-def lempel_ziv_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lempel_ziv_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Remove every word in a window of `width` words that also starts elsewhere, by relative Lempel-Ziv parsing.
 
     Words are runs of anything but ASCII white space. Returns as
     `suffix_array_dedup` does, with words as units; `kept` joins the words
     that stay with one space.
     """
-    return _dedup(docs, Unit(True, width, max(1, min(8, width // 2))), factored_windows, "lempel-ziv", id_col, text_col)
+    return _dedup(docs, Unit(True, width, max(1, min(8, width // 2))), factored_windows, "lempel-ziv", id_col, text_col, as_text)
 
 
 def factored_windows(values: np.ndarray, windows: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
