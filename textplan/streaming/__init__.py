@@ -1 +1 @@
-"""streaming of the template engine."""
+"""Records from streams of text."""
