@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textplan.llm import repeats
+from textplan.llm import repeats, suffixes
 from textplan.llm.repeats import lempel_ziv_dedup, suffix_array_dedup
 from textplan.llm.suffixes import repeated_suffixes, sort_suffixes
 
@@ -63,7 +63,9 @@ def test_empty_table(spark):
     assert lempel_ziv_dedup(df).count() == 0
 
 
-def test_sorted_suffixes():
+@pytest.mark.parametrize("large", [20_000, 3])
+def test_sorted_suffixes(large, monkeypatch):
+    monkeypatch.setattr(suffixes, "LARGE", large)
     r = np.random.default_rng(3)
     for alphabet, n in ((2, 600), (3, 2000), (200, 1000)):
         data = r.integers(97, 97 + alphabet, n, dtype=np.uint8) if alphabet < 200 else r.integers(0, 256, n, dtype=np.uint8)

@@ -42,7 +42,7 @@ from ._text import NOT_SPACE, U, Words, as_long, byte_values, flat, pieces, pref
 from .suffixes import repeated_suffixes
 
 #: Distinct contents of one anchor that a task resolves together, some 300 bytes each.
-HOT = 20_000
+HOT = 12_000
 #: Bytes of run contents that a task resolves at a time, unless one anchor has more.
 CHUNK = 1 << 20
 NO_ID = -(2**63)

@@ -7,6 +7,8 @@ import numpy as np
 U = np.uint64
 #: Bytes that multikey quicksort compares before blind tries take over.
 SHALLOW = 32
+#: Suffixes of one group that a blind trie orders; quicksort goes on with larger ones.
+LARGE = 20_000
 
 
 def _words(data: np.ndarray, depth: int) -> np.ndarray:
@@ -97,29 +99,43 @@ def sort_suffixes(data: np.ndarray, suffixes: np.ndarray, width: int, shallow: i
     n = len(order)
     common = np.zeros(n, dtype=np.int64)
     group = np.zeros(n, dtype=np.int64)  # place of the group's first
-    depth, live = 0, np.arange(n)
-    edge = min(shallow, width) // 8 * 8
-    while depth < edge and len(live):
+
+    def quicksort(live: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """One step: order the places `live` by group and the next eight bytes; places still tied, and sizes of their groups."""
         w = words[order[live] + depth]
         by = np.lexsort((w, group[live]))
         w, g = w[by], group[live][by]
         order[live] = order[live][by]
         first = np.ones(len(live), dtype=bool)
         first[1:] = (w[1:] != w[:-1]) | (g[1:] != g[:-1])
-        inner = first.copy()
-        inner[0] = False
-        inner[1:] &= g[1:] == g[:-1]
-        at = np.flatnonzero(inner)
+        at = np.flatnonzero(first[1:] & (g[1:] == g[:-1])) + 1
         x = w[at] ^ w[at - 1]
         common[live[at]] = depth + (63 - np.floor(np.log2(np.maximum(x, U(1)).astype(np.float64))).astype(np.int64).clip(0, 63)) // 8
         head = np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))
         group[live] = live[head]
         size = np.bincount(head, minlength=len(live))[head]
-        live = live[size > 1]
+        return live[size > 1], size[size > 1]
+
+    depth, live, size = 0, np.arange(n), np.full(n, n)
+    while depth + 8 <= min(shallow, width) and len(live):
+        live, size = quicksort(live, depth)
         depth += 8
+    raw = data.tobytes() + bytes(width + 16)
+    while len(live):
+        # Large groups stay with the array steps, so that no trie outgrows a task.
+        large = (size > LARGE) & (depth + 8 <= width)
+        _deep(raw, words, order, common, group, live[~large], depth, width)
+        live = live[large]
+        if len(live):
+            live, size = quicksort(live, depth)
+            depth += 8
+    return order, np.minimum(common, width)
+
+
+def _deep(raw: bytes, words: np.ndarray, order: np.ndarray, common: np.ndarray, group: np.ndarray, live: np.ndarray, depth: int, width: int) -> None:
+    """Order groups that agree in `depth` bytes: at once where they agree over the whole width, else by a blind trie."""
     if not len(live):
-        return order, np.minimum(common, width)
-    # Deep phase: is the group uniform over the whole width?
+        return
     heads = order[group[live]]
     differs = np.zeros(len(live), dtype=bool)
     for d in range(depth, width, 8):
@@ -134,13 +150,11 @@ def sort_suffixes(data: np.ndarray, suffixes: np.ndarray, width: int, shallow: i
     follower = np.ones(len(live), dtype=bool)
     follower[starts] = False
     common[live[follower]] = width
-    raw = data.tobytes() + bytes(width + 16)
     for s, m in zip(starts[mixed], sizes[mixed], strict=True):
         places = live[s : s + m]
         sorted_, lcp = _blind_trie(raw, order[places].tolist(), depth, width)
         order[places] = sorted_
         common[places[1:]] = lcp[1:]
-    return order, np.minimum(common, width)
 
 
 def repeated_suffixes(data: np.ndarray, windows: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
