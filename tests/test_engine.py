@@ -100,6 +100,7 @@ def test_window_and_fold_agree(spark):
     for roles in (Roles(4, frozenset([0])), Roles(4, frozenset([0]), frozenset([0])), Roles(4, frozenset([0, 1]), frozenset([1]))):
         assert roles.closed
         got = sorted((x["input"], x.line_no, x.p, x.rec) for x in segment(df, roles).collect())
+        assert got == sorted((x["input"], x.line_no, x.p, x.rec) for x in segment(df, roles, chunk_lines=37).collect())
         want = []
         for k in range(60):
             fold = Fold(roles)
@@ -282,3 +283,78 @@ def test_custom_functions(spark):
     p = Parser(spark).add_template('<group name="g" twice="n">\nn {{ n | shout }}\n</group>').add_input("n a\n")
     p.add_function("match", "shout", lambda v, args, kwargs: F.concat(v.text, F.lit("!"))).add_function("group", "twice", lambda r, args, kwargs: r.put(args[0], F.repeat(r.text(args[0]), 2)))
     assert p.parse() == [[{"g": {"n": "a!a!"}}]]
+
+
+def test_files(spark, tmp_path):
+    from textplan.sources.readers import load_lookups, lookup_table, merge_lookups, read_csv, read_json, read_lines, read_texts
+    from textplan.sources.returners import file
+
+    for n in ("a.txt", "b.txt", "c.cfg"):
+        (tmp_path / "in" / n).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / n).write_text(CONFIG * 40)
+    assert compile_template(INTERFACES).records(read_texts(spark, str(tmp_path / "in"), ["txt"])).count() == 240
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = read_lines(spark, str(tmp_path / "in" / "a.txt"))
+        got = sorted((r.line_no, r.line) for r in lines.collect())
+        assert got == list(enumerate(x.rstrip() for x in (CONFIG * 40).rstrip("\n").split("\n")))
+        plan = compile_template(INTERFACES, chunk_lines=50)
+        assert plan._records(lines, plan.groups[0])[0].count() == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    file("a,b\n1,x\n2,y\n", str(tmp_path / "t.csv"))
+    table = lookup_table(read_csv(spark, str(tmp_path / "t.csv")), "a", "b")
+    assert {r.key: r.value for r in table.collect()} == {"1": "x", "2": "y"}
+    file(table, str(tmp_path / "t.json"))
+    assert read_json(spark, str(tmp_path / "t.json"), "key string, value string").count() == 2
+    assert merge_lookups(load_lookups('{"t": {"1": 1}}'), load_lookups("key,v\n1,2\n", "csv", "t")) == {"t": {"1": {"key": "1", "v": "2"}}}
+
+
+def test_plan_stays_in_the_jvm(spark):
+    for template in (INTERFACES, '<group name="t*" method="table">\na {{ a | to_int }}\n</group>'):
+        plan = compile_template(template)
+        text = plan.records(plan.inputs(spark, {"a": CONFIG}))._jdf.queryExecution().toString()
+        assert "Python" not in text and "Arrow" not in text
+    flat = plan.records(spark.range(5).selectExpr("string(id) input", "string(id) text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in flat  # records of one line are made without a shuffle
+
+
+def test_outputs():
+    from textplan.functions import outputs as o
+
+    data = {"a": {"x": {"n": 1}, "y": {"n": 2, "m": 3}}}
+    assert o.traverse(data, "a.y.n") == 2 and o.traverse([data, data], "a.x") == [{"n": 1}, {"n": 1}] and o.traverse(data, "no") == {}
+    assert o.dict_to_list(data, "k", "a") == {"a": [{"k": "x", "n": 1}, {"k": "y", "n": 2, "m": 3}]}
+    assert o.table_rows(data, "a", key="k", missing="-") == [["k", "m", "n"], ["x", "-", 1], ["y", 3, 2]]
+    assert o.to_csv([{"a": 1}]) == '"a"\n"1"' and o.tabulate([{"a": 1, "b": "xx"}]) == "a  b\n-  --\n1  xx"
+    assert '<edge source="p" target="q"/>' in o.n2g([{"source": "p", "target": "q"}]) and o.to_yaml({"a": [1]}) == "a:\n- 1\n"
+    with pytest.raises(o.FunctionError):
+        o.traverse(data, "no", strict=True)
+
+
+def test_syslog(spark):
+    import socket
+
+    from textplan.sources.returners import syslog
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        s.settimeout(20)
+        syslog(spark.createDataFrame([(1,)], "n int"), "127.0.0.1", s.getsockname()[1])
+        assert s.recv(1000) == b'<622>{"n":1}'
+
+
+@pytest.mark.parametrize("line,text,want", [
+    ('v {{ x | raise("no") }}', "v 1", None), ('v {{ x | resub("(a)(b)", "\\2\\1", 2) }}', "v abxabxab", {"x": "baxbaxab"}),
+    ('v {{ x | let("b", "True") }}', "v 1", {"x": "1", "b": True}), ("v {{ x | unrange }}", "v 1,5-3", {"x": "1"}), ("v {{ x | item(9) }}", "v abc", {"x": "c"}),
+    ("v {{ x | to_cidr }}", "v 255.255.255.128", {"x": 25}), ('v {{ x | cidr_match("10.0.0.0/33") }}', "v 10.0.0.1", "none"), ("v {{ x | mac_eui }}", "v 0007.1122.7A", {"x": "00:07:11:22:7a:00"}),
+    ('{{ x | _exact_ }} 12', "a 12", {"x": "a"}), ("v {{ x }} 12", "v a 345", {"x": "a"}), ("v {{ ignore }} {{ x | PHRASE }}", "v a b c", {"x": "b c"}), ('v {{ ignore("\\d+") }} {{ x }}', "v a b", "none"),
+    ("v {{ x }} tail", "v 1   tail  ", {"x": "1"}), ("v {{ x | dns }}", "v localhost", {"x": "127.0.0.1"}), ("## note\nv {{ x }}", "v 1", {"x": "1"}), ("v [{{ x }}] (a|b)", "v [1] (a|b)", {"x": "1"}),
+])
+def test_match_cases(spark, line, text, want):
+    template = f'<group name="g">\n{line}\n</group>'
+    if want is None:
+        with pytest.raises(Exception, match="no"):
+            rows(spark, template, text)
+    else:
+        assert rows(spark, template, text) == ([] if want == "none" else [want])

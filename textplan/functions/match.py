@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -375,8 +376,6 @@ def _geoip(v, a, k):
 
 def _dns(reverse: bool) -> Callable:
     def f(v, a, k):
-        import pandas as pd
-
         @F.pandas_udf("string")
         def look(s: pd.Series) -> pd.Series:
             import socket

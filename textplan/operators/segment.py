@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines after its start in which a record without markers takes members.
@@ -45,24 +45,54 @@ class Roles:
         return self.table or self.patterns == 1 and not self.joined and self.closed
 
 
-def segment(matches: DataFrame, roles: Roles) -> DataFrame:
+def segment(matches: DataFrame, roles: Roles, chunk_lines: int | None = None) -> DataFrame:
+    """Add `rec` (and `end_line`) to the matches of records.
+
+    With chunk_lines, a closed group of one huge input is numbered in chunks
+    of that many lines, so that no task holds the input: each chunk's last
+    start is carried to the next ones through a table of one row a chunk.
+    """
     place = F.col("line_no") * roles.patterns + F.col("p")
     if roles.one_line:
         return matches.withColumn("rec", place).withColumn("end_line", F.lit(None).cast("bigint"))
     if not roles.closed:
         return _folded(matches, roles)
+    if chunk_lines:
+        return _members(_in_chunks(matches, roles, place, chunk_lines), roles)
     w = Window.partitionBy(*KEYS).orderBy("line_no", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("p").isin(*roles.starts)
     if roles.markers:
         marker = F.col("p").isin(*roles.markers)
         matches = matches.withColumn("seen", F.max(marker.cast("int")).over(w))
         start = marker | F.col("p").isin(*(roles.starts - roles.markers or {-1})) & (F.col("seen") == 0)
-    out = matches.withColumn("starts", start).withColumn("rec", F.last(F.when(F.col("starts"), place), ignorenulls=True).over(w)).where("rec is not null")
-    if roles.markers:
-        near = F.col("starts") | F.floor(F.col("rec") % roles.patterns).isin(*roles.markers) | (F.col("line_no") - F.floor(F.col("rec") / roles.patterns) < NEAR)
-    else:
-        near = F.col("starts") | (F.col("line_no") - F.floor(F.col("rec") / roles.patterns) < NEAR)
-    return out.where(near).drop("starts", "seen").withColumn("end_line", F.lit(None).cast("bigint"))
+    out = matches.withColumn("starts", start).withColumn("rec", F.last(F.when(F.col("starts"), place), ignorenulls=True).over(w))
+    return _members(out, roles)
+
+
+def _members(out: DataFrame, roles: Roles) -> DataFrame:
+    near = F.col("starts") | (F.col("line_no") - F.floor(F.col("rec") / roles.patterns) < NEAR)
+    if roles.markers:  # their records take members from any distance
+        near = near | F.floor(F.col("rec") % roles.patterns).isin(*roles.markers)
+    return out.where("rec is not null").where(near).drop("starts", "seen").withColumn("end_line", F.lit(None).cast("bigint"))
+
+
+def _in_chunks(matches: DataFrame, roles: Roles, place: Column, chunk_lines: int) -> DataFrame:
+    marker = F.col("p").isin(*(roles.markers or {-1}))
+    other = F.col("p").isin(*(roles.starts - roles.markers or {-1}))
+    rows = matches.withColumn("chunk", F.floor(F.col("line_no") / chunk_lines))
+    mine = Window.partitionBy(*KEYS, "chunk").orderBy("line_no", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Without markers every start counts; with them, others count until the first marker.
+    free = other & (F.max(marker.cast("int")).over(mine) == 0) if roles.markers else other
+    rows = rows.withColumn("_marked", F.when(marker, place)).withColumn("_free", F.when(free, place))
+    chunks = rows.groupBy(*KEYS, "chunk").agg(F.max("_marked").alias("marked"), F.max("_free").alias("free"))
+    before = Window.partitionBy(*KEYS).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("seen_before", F.coalesce(F.max(F.col("marked").isNotNull()).over(before), F.lit(False)))
+    chunks = chunks.withColumn("last", F.greatest("marked", F.when(~F.col("seen_before"), F.col("free"))))
+    chunks = chunks.withColumn("carried", F.max("last").over(before)).select(*KEYS, "chunk", "seen_before", "carried")
+    rows = rows.join(chunks, [*KEYS, "chunk"])
+    rows = rows.withColumn("_start", F.coalesce("_marked", F.when(~F.col("seen_before"), F.col("_free"))))
+    rec = F.coalesce(F.max("_start").over(mine), F.col("carried"))
+    return rows.withColumn("starts", F.col("_start").isNotNull()).withColumn("rec", rec).drop("chunk", "_marked", "_free", "_start", "seen_before", "carried")
 
 
 @dataclass

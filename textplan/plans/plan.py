@@ -101,7 +101,9 @@ def _argument(x: Any, variables: dict[str, Any]) -> Any:
 class Plan:
     """What `compile_template` returns."""
 
-    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, compat: bool = False):
+    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, compat: bool = False, chunk_lines: int | None = None):
+        #: For inputs too large for one task: lines of a chunk in which records are numbered.
+        self.chunk_lines = chunk_lines
         self.template, self.source, self.compat = template, source, compat
         self.variables: dict[str, Any] = {**template.vars, **(variables or {})}
         self.lookups: dict[str, Any] = {**template.lookups, **(lookups or {})}
@@ -296,7 +298,7 @@ class Plan:
             w = Window.partitionBy("input").orderBy("line_no", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             for r in recorded:
                 matches = matches.withColumn(f"_r:{r}", F.last(F.col(f"`_r:{r}`"), ignorenulls=True).over(w))
-        rows = segment(matches, roles)
+        rows = segment(matches, roles, self.chunk_lines)
         at = F.col("line_no") * roles.patterns + F.col("p")
         if roles.one_line and not joins:
             df = rows.select(*KEYS, "rec", at.alias("at"), F.col("line_no").alias("start_line"), "end_line", *[F.col(f"`{f}`") for f in fields], *[F.col(f"`_r:{r}`") for r in recorded])

@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..template import load_text
@@ -14,21 +14,25 @@ from ..template import load_text
 
 def read_texts(spark: SparkSession, path: str, extensions: list[str] | None = None, recursive: bool = True) -> DataFrame:
     """(input, text): each file under a path as one input, named by its path. Files of up to 2 GB."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    r = spark.read.option("recursiveFileLookup", recursive)
     if extensions:
         r = r.option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}")
-    return r.text(path).select(F.col("_metadata.file_path").alias("input"), F.col("value").alias("text"))
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("input"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(input, line_no, line) of files of any size, split over tasks; line_no grows along each file.
+    """(input, key, line_no, line) of files of any size, split over tasks; line_no counts along each file.
 
-    A line's number is its file block's start and its place within the block,
-    so no task reads a whole file. Blocks keep Spark's order within a file.
+    A first pass counts the lines of each block of a file; a line's number is
+    the count of the blocks before its own and its place within it. Both
+    passes split the files alike, and a task reads its lines in order.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("input"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"[\r \t]+$", "").alias("line"))
-    # Ids grow within a partition, and a partition reads its blocks one after another.
-    return lines.select("input", F.expr("cast(array() as array<bigint>)").alias("key"), (F.col("block") * 0 + F.col("n")).alias("line_no"), "line")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("input"), F.col("_metadata.file_block_start").alias("block"), row.alias("n"), F.regexp_replace("value", r"[\r \t]+$", "").alias("line"))
+    blocks = lines.groupBy("input", "block").agg(F.count("*").alias("size"), F.min("n").alias("first"))
+    before = Window.partitionBy("input").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return lines.join(blocks, ["input", "block"]).select("input", F.expr("cast(array() as array<bigint>)").alias("key"), (F.col("before") + F.col("n") - F.col("first")).alias("line_no"), "line")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
