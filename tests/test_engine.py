@@ -358,3 +358,13 @@ def test_match_cases(spark, line, text, want):
             rows(spark, template, text)
     else:
         assert rows(spark, template, text) == ([] if want == "none" else [want])
+
+
+def test_hostname_and_records_of_earlier_groups(spark):
+    template = '<vars name="about">\n{"host": "gethostname"}\n</vars>\n<group name="x">\nn {{ n | record("last") }}\n</group>\n<group name="y*" functions="set(\'last\', \'seen\')">\nm {{ m }}\n</group>'
+    assert tree(spark, template, "sw1#show\nn 1\nn 2\nm 3\n") == [{"x": [{"n": "1"}, {"n": "2"}], "y": [{"m": "3", "seen": "2"}], "about": {"host": "sw1"}}]
+
+
+def test_lookup_of_a_frame(spark):
+    table = spark.createDataFrame([("a", "one"), ("b", "two")], "key string, value string")
+    assert rows(spark, '<group name="g">\nn {{ n | lookup("t") }}\n</group>', "n b\n", lookups={"t": table}) == [{"n": "two"}]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import group as group_functions
+from ..functions.inputs import hostname
 
 SEP = "\x1f"
 
@@ -91,6 +92,7 @@ def results(plan, inputs: DataFrame) -> DataFrame:
     together = plan.template.attrs.get("results") == "per_template"
     named = plan.template.named_vars
     base = inputs.select("input").distinct()
+    asks = any(v == "gethostname" for values in named.values() for v in values.values())
     if rows is None:
         return base.select("input", F.lit("{}").alias("result"))
 
@@ -104,7 +106,12 @@ def results(plan, inputs: DataFrame) -> DataFrame:
         for path, record, item in zip(t["path"], t["record"], t["item"], strict=True):
             r = json.loads(record)
             pairs.append((path if not item or path.endswith("*") else path + "*", r["v"] if item else collapse(r)))
-        return pd.DataFrame({"input": [t["input"].iloc[0]], "result": [json.dumps(build(pairs, named), sort_keys=True)]})
+        host = t["host"].iloc[0] if asks else None
+        about = {p: {k: (host or False) if v == "gethostname" else v for k, v in values.items()} for p, values in named.items()}
+        return pd.DataFrame({"input": [t["input"].iloc[0]], "result": [json.dumps(build(pairs, about), sort_keys=True)]})
+
+    if asks:
+        rows = rows.join(inputs.groupBy("input").agg(F.first(hostname(F.col("text"))).alias("host")), "input", "left")
 
     if together:
         return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(make, "input string, result string").select(F.lit("all").alias("input"), "result")

@@ -28,6 +28,8 @@ from ..template import Group, Template, parse
 
 #: Functions that a group may use and still be read record by record.
 STREAMABLE = {"contains", "containsall", "exclude", "excludeall", "equal", "contains_val", "exclude_val", "set", "record", "delete", "del", "to_int", "sformat", "to_ip", "expand", "items2dict", "cerberus", "validate", "macro"}
+#: Rows of a lookup table that become literals of the plan.
+LITERAL_ROWS = 5000
 _RESERVED = {"ignore", "_start_", "_end_", "_exact_", "_exact_space_"}
 
 
@@ -101,10 +103,10 @@ def _argument(x: Any, variables: dict[str, Any]) -> Any:
 class Plan:
     """What `compile_template` returns."""
 
-    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, compat: bool = False, chunk_lines: int | None = None):
+    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, chunk_lines: int | None = None):
         #: For inputs too large for one task: lines of a chunk in which records are numbered.
         self.chunk_lines = chunk_lines
-        self.template, self.source, self.compat = template, source, compat
+        self.template, self.source = template, source
         self.variables: dict[str, Any] = {**template.vars, **(variables or {})}
         self.lookups: dict[str, Any] = {**template.lookups, **(lookups or {})}
         self.functions = {"match": {}, "group": {}, "input": {}, "output": {}, **(functions or {})}
@@ -194,6 +196,13 @@ class Plan:
             return table
         return self.lookups[n]
 
+    def _small_table(self, table: DataFrame) -> dict[str, Any]:
+        """A keyed DataFrame as part of the plan, if it is small; `sources.joins.lookup_join` is for any size."""
+        rows = table.select("key", "value").limit(LITERAL_ROWS + 1).collect()
+        if len(rows) > LITERAL_ROWS:
+            raise FunctionError(f"the lookup table has more than {LITERAL_ROWS} rows; join it with sources.joins.lookup_join")
+        return {r["key"]: r["value"].asDict() if hasattr(r["value"], "asDict") else r["value"] for r in rows}
+
     def _apply(self, v: Value, calls: list[Call]) -> tuple[Value, list[Column]]:
         conditions: list[Column] = []
         for c in calls:
@@ -206,7 +215,7 @@ class Plan:
                 more = kwargs.get("add_field", kwargs.get("pattern", args[1] if len(args) > 1 else None))
                 table = self._table(name)
                 if isinstance(table, DataFrame):
-                    raise FunctionError(f"{c.name}: a DataFrame is joined by the group's `join` (see Plan.lookup_join)")
+                    table = self._small_table(table)
                 v = getattr(match_functions, c.name)(v, table, more)
             elif c.name == "macro":
                 name = str(args[0])
@@ -323,7 +332,7 @@ class Plan:
             df = rows.groupBy(*KEYS, "rec").agg(*aggs)
         for child in g.children:
             df, fields = self._nest(lines, df, fields, child)
-        return self._finish(df, fields, recorded, g)
+        return self._finish(df, fields, recorded, g, lines)
 
     def _wrapper(self, lines: DataFrame, g: GroupPlan) -> tuple[DataFrame, list[str]]:
         """A group without patterns: the union of its children."""
@@ -355,8 +364,9 @@ class Plan:
             return joined.drop("_nested"), fields + [n for n in names if n not in fields]
         return joined.withColumnRenamed("_nested", base), [*[f for f in fields if f != base], base]
 
-    def _finish(self, df: DataFrame, fields: list[str], recorded: list[str], g: GroupPlan) -> tuple[DataFrame, list[str]]:
+    def _finish(self, df: DataFrame, fields: list[str], recorded: list[str], g: GroupPlan, lines: DataFrame) -> tuple[DataFrame, list[str]]:
         a = g.group.attrs
+        df, recorded = self._recorded_before(df, recorded, g, lines)
         r = group_functions.Records(df, fields, self.variables, {n: f"_r:{n}" for n in recorded})
         table = group_functions.FUNCTIONS | self.functions["group"]
         if "record" in a and a["record"] in r.fields:
@@ -395,6 +405,20 @@ class Plan:
         r.where(some)
         return r.df.select(*KEYS, "rec", "at", "start_line", "end_line", *[group_functions.col(f) for f in r.fields]), r.fields
 
+    def _recorded_before(self, df: DataFrame, recorded: list[str], g: GroupPlan, lines: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Variables that earlier groups recorded and this one names: their last value in each input."""
+        if g not in self.groups:
+            return df, recorded
+        for e in reversed(self.groups[: self.groups.index(g)]):
+            names = [str(_argument(c.args[-1], {})) for c in e.all_calls() if c.name == "record"]
+            names = [n for n in names if n not in recorded and any(n in text for text in g.group.attrs.values())]
+            if names and e.patterns:
+                rows, _, _ = self._matches(lines, e)
+                at = F.struct("line_no", "p")
+                last = rows.groupBy("input").agg(*[F.max_by(F.col(f"`_r:{n}`"), F.when(F.col(f"`_r:{n}`").isNotNull(), at)).alias(f"_r:{n}") for n in names])
+                df, recorded = df.join(last, "input", "left"), [*recorded, *names]
+        return df, recorded
+
     def _by_value(self, r: group_functions.Records, by: str) -> None:
         """Records of one value of a field become one; their other fields list their distinct values in order of appearance."""
         others = [f for f in r.fields if f != by]
@@ -472,17 +496,17 @@ class Plan:
 
     def save(self) -> str:
         """The plan as JSON: its source and variables, compiled again by `load`."""
-        return json.dumps({"version": 1, "source": self.source, "variables": self.variables, "lookups": {k: v for k, v in self.lookups.items() if not isinstance(v, DataFrame)}, "compat": self.compat})
+        return json.dumps({"version": 1, "source": self.source, "variables": self.variables, "lookups": {k: v for k, v in self.lookups.items() if not isinstance(v, DataFrame)}})
 
 
 def compile_template(text: str, base: str | None = None, **options: Any) -> Plan:
-    """Compile a template. Options: variables, functions (by kind), lookups, compat."""
+    """Compile a template. Options: variables, functions (by kind), lookups, chunk_lines."""
     return Plan(parse(text, base), text, **options)
 
 
 def load(saved: str, **options: Any) -> Plan:
     d = json.loads(saved)
-    return Plan(parse(d["source"]), d["source"], variables=d["variables"], lookups=d["lookups"], compat=d["compat"], **options)
+    return Plan(parse(d["source"]), d["source"], variables=d["variables"], lookups=d["lookups"], **options)
 
 
 def resolved_path(g: GroupPlan, fields: list[str], variables: dict[str, Any]) -> tuple[list[Column], list[str]]:
