@@ -77,7 +77,7 @@ def ipv4_number(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r\x85\u00a0\u2028\u2029"))
 
 
 # Conditions -------------------------------------------------------------
@@ -189,7 +189,7 @@ def _to(v, a, k):
 
 
 def _to_int(v, a, k):
-    return v.to(F.when(strip(v.text).rlike(r"^[+-]?[0-9]+$"), strip(v.text).try_cast("bigint")), "bigint")
+    return v.to(strip(v.text).try_cast("bigint"), "bigint")
 
 
 def _to_net(v, a, k):

@@ -28,6 +28,8 @@ from ..template import Group, Template, parse
 
 #: Functions that a group may use and still be read record by record.
 STREAMABLE = {"contains", "containsall", "exclude", "excludeall", "equal", "contains_val", "exclude_val", "set", "record", "delete", "del", "to_int", "sformat", "to_ip", "expand", "items2dict", "cerberus", "validate", "macro"}
+#: Functions that never turn a text into null.
+_NEVER_NULL = {*match_functions.CONDITIONS, "upper", "lower", "strip", "split", "join", "replace", "IP", "mac_eui", "count", "record", "to_list", "to_str", "to_ip", "to_net", "to_unicode", "sformat", "resub", "replaceall", "resuball", "prepend", "append", "copy", "default", "unrange", "truncate", "print", "joinmatches"}
 #: Rows of a lookup table that become literals of the plan.
 LITERAL_ROWS = 5000
 _RESERVED = {"ignore", "_start_", "_end_", "_exact_", "_exact_space_"}
@@ -75,6 +77,15 @@ class GroupPlan:
         joined = any(v.joins for p in ps if p.index in starts for v in p.variables)
         return Roles(max(1, len(ps)), starts, markers, ends, any(p.whole_line and not any(v.joins for v in p.variables) for p in ps), any(p.blank and p.start for p in ps), joined, table)
 
+    @property
+    def never_empty(self) -> bool:
+        """Whether each record has a field for certain, as each pattern that starts one captures a text that stays one."""
+        if any(k in self.group.attrs for k in ("functions", "chain", "macro", "del", "delete", "record")):
+            return False
+        sure = lambda v: v.group and v.name not in (*_RESERVED, "_line_") and not v.joins and all(c.name in _NEVER_NULL for c in v.calls)
+        ps = [p for p in self.patterns if p.index in self.roles.starts]
+        return bool(ps) and all(any(sure(v) for v in p.variables) for p in ps)
+
     def all_calls(self) -> list[Call]:
         return [c for p in self.patterns for v in p.variables for c in v.calls]
 
@@ -398,11 +409,12 @@ class Plan:
                     r.put(f, x)
                 elif r.df.schema[f].dataType.typeName() in ("string", "long", "integer", "double", "boolean"):
                     r.put(f, F.coalesce(group_functions.col(f), x.try_cast(r.df.schema[f].dataType)))
-        some = F.lit(False)
-        for f in r.fields:
+        some = F.lit(g.never_empty)
+        for f in [] if g.never_empty else r.fields:
             kind = r.df.schema[f].dataType.typeName()
             some = some | (F.coalesce(F.size(group_functions.col(f)), F.lit(0)) > 0 if kind == "array" else group_functions.col(f).isNotNull())
-        r.where(some)
+        if not g.never_empty:
+            r.where(some)
         return r.df.select(*KEYS, "rec", "at", "start_line", "end_line", *[group_functions.col(f) for f in r.fields]), r.fields
 
     def _recorded_before(self, df: DataFrame, recorded: list[str], g: GroupPlan, lines: DataFrame) -> tuple[DataFrame, list[str]]:
