@@ -44,7 +44,7 @@ from .suffixes import repeated_suffixes
 #: Distinct contents of one anchor that a task resolves together, some 300 bytes each.
 HOT = 12_000
 #: Bytes of run contents that a task resolves at a time, unless one anchor has more.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 NO_ID = -(2**63)
 RESULT = ("n_units", "n_removed", "n_spans", "kept", "kept_sha256")
 
@@ -68,7 +68,7 @@ class Unit:
 
 def _find_runs(unit: Unit):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, most=1 << 19):
             _, offsets, values, of, first, last = unit.read(b["text"])
             start, n, anchor, digest, twice = runs_of_windows(values, of, unit.width, unit.k)
             doc = np.searchsorted(of, start, side="right") - 1
