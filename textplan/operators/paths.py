@@ -7,6 +7,7 @@ Records of an input meet in one group, as the tree is one value; typed frames
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -96,25 +97,34 @@ def results(plan, inputs: DataFrame) -> DataFrame:
     if rows is None:
         return base.select("input", F.lit("{}").alias("result"))
 
-    def make(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["g", "input", "at"] if together else ["g", "at"], kind="stable")
-        first: dict[tuple, int] = {}
-        for k in zip(t["g"], t["path"], strict=True):
-            first.setdefault(k, len(first))
-        t = t.assign(o=[first[k] for k in zip(t["g"], t["path"], strict=True)]).sort_values("o", kind="stable")
-        pairs = []
-        for path, record, item in zip(t["path"], t["record"], t["item"], strict=True):
-            r = json.loads(record)
-            pairs.append((path if not item or path.endswith("*") else path + "*", r["v"] if item else collapse(r)))
-        host = t["host"].iloc[0] if asks else None
+    def finish(who: str, host: str | None, parts: dict[tuple[int, str], list]) -> tuple[str, str]:
         about = {p: {k: (host or False) if v == "gethostname" else v for k, v in values.items()} for p, values in named.items()}
-        return pd.DataFrame({"input": [t["input"].iloc[0]], "result": [json.dumps(build(pairs, about), sort_keys=True)]})
+        return who, json.dumps(build([(path, r) for (_, path), own in parts.items() for r in own], about), sort_keys=True)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Trees of inputs whose rows come one after another, in order of group and place."""
+        who, host, parts = None, None, {}
+        for t in batches:
+            out = []
+            for row in t.itertuples(index=False):
+                mine = "all" if together else row.input
+                if who is not None and mine != who:
+                    out.append(finish(who, host, parts))
+                    parts = {}
+                who, host = mine, row.host if asks else None
+                r = json.loads(row.record)
+                path = row.path if not row.item or row.path.endswith("*") else row.path + "*"
+                parts.setdefault((row.g, path), []).append(r["v"] if row.item else collapse(r))
+            if out:
+                yield pd.DataFrame(out, columns=["input", "result"])
+        if who is not None:
+            yield pd.DataFrame([finish(who, host, parts)], columns=["input", "result"])
 
     if asks:
         rows = rows.join(inputs.groupBy("input").agg(F.first(hostname(F.col("text"))).alias("host")), "input", "left")
 
     if together:
-        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(make, "input string, result string").select(F.lit("all").alias("input"), "result")
-    trees = rows.groupBy("input").applyInPandas(make, "input string, result string")
+        return rows.coalesce(1).sortWithinPartitions("g", "input", "at").mapInPandas(make, "input string, result string")
+    trees = rows.repartition("input").sortWithinPartitions("input", "g", "at").mapInPandas(make, "input string, result string")
     empty = json.dumps(build([], named), sort_keys=True)
     return base.join(trees, "input", "left").select("input", F.coalesce("result", F.lit(empty)).alias("result"))
