@@ -12,9 +12,10 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Lines after its start in which a record without markers takes members.
 NEAR = 100
@@ -190,42 +191,41 @@ def _folded(matches: DataFrame, roles: Roles) -> DataFrame:
             collects = collects | F.col(f"`{n}`").isNotNull()
     rows = matches.withColumn("_plain", plain).withColumn("_collects", collects)
     rows = rows.repartition("input", "key").sortWithinPartitions("input", "key", "line_no", "p")
-    narrow = rows.select(*KEYS, "line_no", "p", "_plain", "_collects")
     special = roles.ends | roles.markers
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, who, held = Fold(roles), None, []
-
-        def line_done():
-            out = []
-            for i, t in enumerate(held):
-                ahead = [(x[3], x[3] in special) for x in held[i + 1 :]]
-                rec = fold.step(t[3], t[2], json.loads(t[4]), bool(t[5]), ahead)
-                if rec is not None:
-                    out.append((t[0], t[1], t[2], t[3], rec, t[2] if t[3] in roles.ends else None))
-            held.clear()
-            return out
+    schema = StructType([*rows.drop("_plain", "_collects").schema.fields, *StructType.fromDDL("rec bigint, end_line bigint").fields])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, who, rest = Fold(roles), None, None
+
+        def numbered(t: pa.Table) -> list[pa.RecordBatch]:
+            nonlocal fold, who
+            ids = list(zip(t["input"].to_pylist(), map(tuple, t["key"].to_pylist()), t["line_no"].to_pylist(), strict=True))
+            ps, plain, collects = t["p"].to_pylist(), t["_plain"].to_pylist(), t["_collects"].to_pylist()
+            rec: list[int | None] = []
+            i = 0
+            while i < len(ids):
+                end = i
+                while end < len(ids) and ids[end] == ids[i]:
+                    end += 1
+                if ids[i][:2] != who:
+                    fold, who = Fold(roles), ids[i][:2]
+                for j in range(i, end):  # a line's matches see those behind them
+                    rec.append(fold.step(ps[j], ids[j][2], json.loads(plain[j]), bool(collects[j]), [(q, q in special) for q in ps[j + 1 : end]]))
+                i = end
+            ended = [line if p in roles.ends else None for p, (_, _, line) in zip(ps, ids, strict=True)]
+            out = t.drop_columns(["_plain", "_collects"]).append_column("rec", pa.array(rec, pa.int64())).append_column("end_line", pa.array(ended, pa.int64()))
+            return out.filter(pa.array([r is not None for r in rec], pa.bool_())).combine_chunks().to_batches()
 
         for b in batches:
-            out = []
-            for t in b.itertuples(index=False, name=None):
-                mine = (t[0], tuple(t[1]))
-                if held and (mine != who or t[2] != held[-1][2]):
-                    out += line_done()
-                if mine != who:
-                    fold, who = Fold(roles), mine
-                held.append(t)
-            if out:
-                yield _frame(out)
-        if held and (out := line_done()):
-            yield _frame(out)
-
-    found = narrow.mapInPandas(go, "input string, key array<bigint>, line_no bigint, p int, rec bigint, ended bigint")
-    ends = Window.partitionBy(*KEYS, "rec")
-    out = matches.join(found, [*KEYS, "line_no", "p"])
-    return out.withColumn("end_line", F.max("ended").over(ends)).drop("ended")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["input", "key", "line_no", "p", "rec", "ended"])
-    return f.astype({"ended": "Int64", "p": "int32"})
+            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            line = t["line_no"].to_pylist()
+            # The last line may go on in the next batch.
+            cut = len(line)
+            while cut and line[cut - 1] == line[-1]:
+                cut -= 1
+            yield from numbered(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None:
+            yield from numbered(rest)
+
+    return rows.mapInArrow(go, schema)
