@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,14 +120,14 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
 
-def _index(forest, width: int):
+def _index(forest):
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f: Forest = forest.value
         for t in batches:
             for i in range(0, len(t), PART):
                 part = t.iloc[i : i + PART]
                 x = f.lift(_stack(part["v"]))
-                yield pd.concat([pd.DataFrame({"tree": np.int32(n), "leaf": tree.leaf_of(x).astype(np.int32), "point": part["point"].to_numpy(), "v": part["v"].to_numpy()}) for n, tree in enumerate(f.trees)], ignore_index=True)
+                yield pd.concat([pd.DataFrame({"tree": np.int32(n), "leaf": tree.leaf_of(x).astype(np.int32), "point": part["point"].to_numpy(), "least": part["least"].to_numpy(), "v": part["v"].to_numpy()}) for n, tree in enumerate(f.trees)], ignore_index=True)
 
     return go
 
@@ -200,16 +201,17 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, share: float = SHAR
 
     facts = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).alias("norm")).collect()[0]
     n = facts["n"]
-    sample = points.where(F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1 << 20)) < int(min(1.0, SAMPLE * 0.9 / max(n, 1)) * (1 << 20))).select("point", "v").limit(SAMPLE).toPandas().sort_values("point")
-    fitted = Forest(_stack(sample["v"]), facts["norm"] or 0.0, trees, max(LEAF, -(-len(sample) // LEAVES)))
+    sample = points.where(F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1 << 20)) < int(min(1.0, SAMPLE * 0.9 / max(n, 1)) * (1 << 20))).select("point", "v").limit(SAMPLE).toArrow()
+    sample = sample.take(pc.sort_indices(sample["point"]))["v"].combine_chunks()
+    fitted = Forest(sample.flatten().to_numpy().reshape(len(sample), width), facts["norm"] or 0.0, trees, max(LEAF, -(-len(sample) // LEAVES)))
     if not fitted.trees:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = spark.sparkContext.broadcast(fitted)
     probes = max(1, round(share * sum(t.leaves for t in fitted.trees)))
     parts = max(1, -(-n // (max(1, min(t.leaves for t in fitted.trees)) * PART)))
 
-    indexed = points.select("point", "v").mapInPandas(_index(forest, width), "tree int, leaf int, point long, v array<double>")
-    indexed = indexed.join(points.select("point", "least"), "point").withColumn("part", F.pmod("point", F.lit(parts)).cast("int"))
+    indexed = points.select("point", "least", "v").mapInPandas(_index(forest), "tree int, leaf int, point long, least long, v array<double>")
+    indexed = indexed.withColumn("part", F.pmod("point", F.lit(parts)).cast("int"))
     probed = queries.repartition(n_parts, "point").mapInPandas(_probe(forest, probes), "tree int, leaf int, query long, q array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     leaf = ["tree", "leaf", "part"]
     scored = indexed.groupBy(*leaf).cogroup(probed.groupBy(*leaf)).applyInPandas(_score(k + 1), "query long, point long, score double")
