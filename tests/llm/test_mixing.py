@@ -74,3 +74,31 @@ def test_cube_keeps_probabilities_and_totals():
 
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_words_are_within_tolerance_where_two_changes_allow_it(spark, block, monkeypatch):
+    """Whatever other sources hold: a source lands by its own count, and one of several blocks is repaired too."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.02)  # that two of a dozen documents can nearly always reach
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(1, 30), "big", "s", 1) for i in range(600)]
+    rows += [(1000 + i, "w " * r.randint(300, 1500), f"few{i % 8}", "s", 1) for i in range(96)]
+    rows += [(2000 + i, "w " * r.randint(200, 800), f"long{i % 4}", "s", 1) for i in range(96)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), weights=(1,), share=0.7).collect()
+    assert sum(g.target % g.source_size > 0 for g in got) > 0.9 * len(rows)
+    for s in {g.source for g in got}:
+        own = [g for g in got if g.source == s]
+        assert abs(sum(g.taken for g in own) - own[0].target) <= 0.02 * own[0].target, s
+
+
+def test_repair_finds_the_best_of_two_changes():
+    r = np.random.default_rng(6)
+    for n in [0, 1, 2, 3, 8, 30] * 40:
+        gain = r.choice([-1, 1], n) * r.integers(1, 200, n).astype(float)
+        error, tolerance = r.normal() * 150, r.choice([0.0, 0.5, 5.0])
+        change = mixing.repair(gain, error, tolerance, r.random())
+        best = min([abs(error), *(abs(error + gain[i]) for i in range(n)), *(abs(error + gain[i] + gain[j]) for i in range(n) for j in range(i))])
+        left = abs(error + gain[change].sum())
+        assert len(set(change)) == len(change) <= 2 and left <= max(best + 1e-9, tolerance)
+        assert change == [] if abs(error) <= tolerance else True

@@ -12,11 +12,14 @@ exactly its probability, but for those few that the landing decides.
 Scale: with two constraints a walk needs three undecided documents at a time,
 so blocks of BLOCK documents of one source are walked on their own, and each
 leaves at most two undecided. Those are walked again in blocks, level by
-level, until one block a source is left; its last one or two documents are
-the landing problem, settled so that the words come nearest to their total.
-Where they are still off by more than TOLERANCE (small sources of long
-documents), at most two decided documents change sides. A source with a third of all rows is many blocks.
-The number of levels follows from the largest source's count.
+level. A source lands at the level where it is one block, however large others
+are; its last one or two documents are the landing problem, settled so that
+the words come nearest to their total. Where they are still off by more than
+TOLERANCE (sources of few long documents), at most two decided documents change
+sides: in the block itself, or for a source of several blocks in a pass over
+two of its documents for each size and side, which leaves out no change of
+words. A source with a third of all rows is many blocks. The number of levels
+follows from the largest source's count.
 
 Reruns agree: blocks are dealt by a hash of the document, a block's order and
 its coins come from the same hash and the seed, and targets are computed from
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -65,6 +68,35 @@ def fill_targets(sizes: list[int], weights: list[int], share: float, most: int)
     return targets
 
 
+def repair(gain: np.ndarray, error: float, tolerance: float, coin: float) -> list[int]:
+    """Which documents change sides, two at most, where the words are off by more than the tolerance.
+
+    `gain` is what a document's change adds to the words. Of the single ones,
+    then the pairs, within the tolerance the coin picks one; if there are none,
+    what comes nearest is taken, or nothing.
+    """
+    if abs(error) <= tolerance or not len(gain):
+        return []
+    single = np.abs(error + gain)
+    near = np.flatnonzero(single <= tolerance)
+    if len(near):
+        return [int(near[int(coin * len(near))])]
+    # The best partner of each is beside the place of what it lacks in sorted order, itself left out.
+    by = np.argsort(gain, kind="stable")
+    g = gain[by]
+    at = np.searchsorted(g, -error - g)[:, None] + np.arange(-2, 2)
+    off = np.abs(error + g[:, None] + g[np.clip(at, 0, len(g) - 1)])
+    off[(at < 0) | (at >= len(g)) | (at == np.arange(len(g))[:, None])] = np.inf
+    best = off.min(1)
+    near = np.flatnonzero(best <= tolerance)
+    if not len(near) and min(single.min(), best.min()) >= abs(error):
+        return []
+    if not len(near) and single.min() <= best.min():
+        return [int(single.argmin())]
+    i = int(near[int(coin * len(near))]) if len(near) else int(best.argmin())
+    return [int(by[i]), int(by[at[i, off[i].argmin()]])]
+
+
 def walk(p: np.ndarray, size: np.ndarray, coins: np.ndarray, land: bool, tolerance: float = 0.0) -> np.ndarray:
     """The flight phase over one block, and with `land` its landing.
 
@@ -110,31 +142,53 @@ def walk(p: np.ndarray, size: np.ndarray, coins: np.ndarray, land: bool, toleran
         best = min(range(len(ways)), key=lambda i: (abs(off[i]), (ways[i] == ways[-1]) == (coins[used % len(coins)] < 0.5)))
         for z, j in zip(ways[best], held, strict=True):
             p[j] = z
-        out, error = np.array(p), off[best]
-        sizes = np.array(x)
-        for turn in range(2):  # up to two decided documents change sides if the words are off by more than the tolerance
-            after = np.abs(error + np.where(free, (1 - 2 * out) * sizes, np.inf))
-            near = np.flatnonzero(after <= tolerance)
-            if abs(error) <= tolerance or not len(after) or not after.min() < abs(error):
-                break
-            i = int(near[int(coins[(used + 1 + turn) % len(coins)] * len(near))]) if len(near) else int(after.argmin())
-            error += (1 - 2 * out[i]) * sizes[i]
-            out[i], free[i] = 1 - out[i], False
+        out = np.array(p)
+        ids = np.flatnonzero(free)
+        change = ids[repair((1 - 2 * out[ids]) * np.array(x)[ids], off[best], tolerance, coins[(used + 1) % len(coins)])]
+        out[change] = 1 - out[change]
         return out
     return np.array(p)
 
 
-def _block_walk(seed: int, level: int, land: bool):
+def _block_walk(seed: int, level: int, share: float):
     def go(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["order", "size", "p"], kind="stable", ignore_index=True)
         first = int(t["order"].iloc[0]) & 0x7FFFFFFF
         coins = np.random.default_rng([seed, level, len(t), first, int(t["source_no"].iloc[0])]).random(len(t) + 4)
-        t["p"] = walk(t["p"].to_numpy(), t["size"].to_numpy(), coins, land, TOLERANCE * float(t["target"].iloc[0]))
+        # A source of several blocks is repaired later, among the documents of all.
+        tolerance = share * float(t["target"].iloc[0]) if level == 1 else np.inf
+        t["p"] = walk(t["p"].to_numpy(), t["size"].to_numpy(), coins, int(t["blocks"].iloc[0]) == 1, tolerance)
         return t
 
     return go
 
 
+def _changes(seed: int):
+    def go(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["gain", "order"], kind="stable", ignore_index=True)
+        coin = np.random.default_rng([seed, int(t["source_no"].iloc[0])]).random()
+        return t.loc[repair(t["gain"].to_numpy(), float(t["error"].iloc[0]), float(t["tolerance"].iloc[0]), coin), ["row"]]
+
+    return go
+
+
+def _repaired(walked: DataFrame, targets: list[float], large: list[int], scratch: Scratch, seed: int) -> DataFrame:
+    """Sources of several blocks that are off by more than the tolerance, with up to two documents each on the other side."""
+    spark = walked.sparkSession
+    sources = spark.createDataFrame([(i,) for i in large], "source_no int")
+    sums = walked.join(F.broadcast(sources), "source_no").groupBy("source_no").agg(F.sum(F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
+    off = [(r["source_no"], r["taken"] - targets[r["source_no"]], TOLERANCE * targets[r["source_no"]]) for r in sums.toLocalIterator()]
+    off = [r for r in off if abs(r[1]) > r[2]]
+    if not off:
+        return walked
+    # Two documents of a size and side stand for all (row_number under a limit is cut before the shuffle).
+    gain = walked.join(F.broadcast(spark.createDataFrame(off, "source_no int, error double, tolerance double")), "source_no").select("source_no", "row", "order", "error", "tolerance", ((1 - 2 * F.col("p")) * F.col("size")).alias("gain"))
+    few = gain.withColumn("n", F.row_number().over(Window.partitionBy("source_no", "gain").orderBy("order", "row"))).where("n <= 2").drop("n")
+    changes = scratch.keep("changes", few.groupBy("source_no").applyInPandas(_changes(seed), "row long"))
+    changed = F.broadcast(changes.withColumn("changed", F.lit(True)))
+    return walked.join(changed, "row", "left").withColumn("p", F.when(F.col("changed"), 1 - F.col("p")).otherwise(F.col("p"))).select(walked.columns)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Choose how many words of each document a mix takes.
 
@@ -145,7 +199,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     carry = [c for c in docs.columns if c not in RESULT and c != text_col]
-    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("rest"), F.col(source_col).alias("source"), count_words(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("order"))
+    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("rest"), F.col(source_col).alias("source"), count_words(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("order"), F.monotonically_increasing_id().alias("row"))
     sized = scratch.keep("sized", rest)
 
     # A row for each source, not for documents; weights need their order.
@@ -153,25 +207,27 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     targets = fill_targets([s for _, s, _ in stats], [weights[i % len(weights)] for i in range(len(stats))], share, most)
     plan = spark.createDataFrame([(i, r[0], r[1], t, -(-r[2] // BLOCK) or 1) for i, (r, t) in enumerate(zip(stats, targets, strict=True))], f"source_no int, source {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, blocks long")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("rest", "source_no", "source_size", "target", "blocks", "size", "order", times.alias("times"))
+    rows = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("rest", "source_no", "source_size", "target", "blocks", "size", "order", "row", times.alias("times"))
     whole = F.least(F.floor(F.col("times") + EPS), F.lit(most)).cast("long")
-    rows = rows.select("rest", "source_no", "source_size", "target", "blocks", "size", "order", whole.alias("whole"), F.when((F.col("size") == 0) | (F.col("times") - whole < EPS), 0.0).otherwise(F.col("times") - whole).alias("p"))
+    rows = rows.select("rest", "source_no", "source_size", "target", "blocks", "size", "order", "row", whole.alias("whole"), F.when((F.col("size") == 0) | (F.col("times") - whole < EPS), 0.0).otherwise(F.col("times") - whole).alias("p"))
     decided = [rows.where("p = 0")]
     undecided = rows.where("p > 0")
     level, blocks = 0, max([-(-n // BLOCK) or 1 for _, _, n in stats], default=1)
     while True:
-        last = blocks <= 1
+        last = blocks <= 1  # of the largest source; the others have landed
         level += 1
         dealt = undecided.withColumn("block", F.pmod(F.xxhash64("order", F.lit(level)), F.col("blocks")))
-        walked = scratch.keep(f"level-{level}", dealt.groupBy("source_no", "block").applyInPandas(_block_walk(seed, level, last), dealt.schema))
+        walked = scratch.keep(f"level-{level}", dealt.groupBy("source_no", "block").applyInPandas(_block_walk(seed, level, TOLERANCE), dealt.schema))
         decided.append(walked.where("p = 0 or p = 1").drop("block"))
         if last:
             break
         # Each block leaves two documents at most, so the next level's blocks are as full.
         blocks = -(-2 * blocks // BLOCK)
         undecided = walked.where("p > 0 and p < 1").drop("block").withColumn("blocks", F.ceil(2 * F.col("blocks") / BLOCK).cast("long"))
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    walked = decided[1]
+    for d in decided[2:]:
+        walked = walked.unionByName(d)
+    large = [i for i, r in enumerate(stats) if r[2] > BLOCK]
+    out = decided[0].unionByName(_repaired(walked, targets, large, scratch, seed) if large else walked)
     return out.select(*[F.col(f"rest.`{c}`") for c in carry], "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
 
