@@ -368,3 +368,24 @@ def test_hostname_and_records_of_earlier_groups(spark):
 def test_lookup_of_a_frame(spark):
     table = spark.createDataFrame([("a", "one"), ("b", "two")], "key string, value string")
     assert rows(spark, '<group name="g">\nn {{ n | lookup("t") }}\n</group>', "n b\n", lookups={"t": table}) == [{"n": "two"}]
+
+
+def test_as_of_in_chunks(spark):
+    import random
+
+    from textplan.sources.joins import as_of
+
+    r = random.Random(5)
+    rows = [(i % 3 and "one", k, k if r.random() < 0.05 else None) for i in range(3) for k in r.sample(range(10**6), 200)] + [("one", None, -1), (None, None, -2)]
+    rows = [("one" if a else None, k, v) for a, k, v in rows]
+    out = as_of(spark.createDataFrame(rows, "`in` string, k long, v long"), "k", "v", by="in")
+    assert out.columns == ["in", "k", "v"]
+    want, now = [], {}
+    for a, k, v in sorted(rows, key=lambda x: (x[0] or "", -1 if x[1] is None else x[1])):
+        now[a] = v if v is not None else now.get(a)
+        want.append((a, k, now[a]))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # No window over an input's records: they are dealt by chunk too.
+    windows = [w for w in plan.splitlines() if "Window" in w]
+    assert any("_last" in w for w in windows) and all("_chunk" in w or "_of" in w for w in windows)

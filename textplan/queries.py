@@ -301,6 +301,13 @@ def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(e, "event_id", "mark").select("event_id", "mark")
 
 
+@query("recorded_values_all", "SELECT event_id, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events")
+def recorded_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all events."""
+    e = table(spark, sf_dir, "events").select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
+    return as_of(e, "event_id", "mark").select("event_id", "mark")
+
+
 @query("extract_commands", "SELECT c_custkey AS custkey, 'seg ' || c_mktsegment AS out FROM customer")
 def extract_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.lit("r1#show clock\n12:00\nr1#show seg\nseg "), "c_mktsegment", F.lit("\nr1#exit")).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.match import glob
 
@@ -39,6 +40,23 @@ def search_join(records: DataFrame, field: str, table: DataFrame, add_field: str
 
 
 def as_of(records: DataFrame, order: str, value: str, by: str = "input") -> DataFrame:
-    """Each record with the latest value so far of a column that is null in most: what recorded variables are."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return records.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """Each record with the latest value so far of a column that is null in most: what recorded variables are.
+
+    Records are cut into chunks of about equal size by (by, order), so that no
+    task holds a whole input; each chunk's last value is carried to the next
+    ones through a table of one row a chunk.
+    """
+    spark = records.sparkSession
+    place = F.struct(F.col(f"`{by}`").alias("by"), F.col(f"`{order}`").alias("order"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Where chunks start, a value each, fixed on the driver: each record's chunk depends on its own place only.
+    firsts = records.select(place.alias("place")).repartitionByRange(n, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place")).select("place")
+    starts = spark.createDataFrame([(firsts.agg(F.collect_list("place")).collect()[0][0],)], StructType([StructField("_starts", ArrayType(firsts.schema["place"].dataType))]))
+    rows = records.crossJoin(F.broadcast(starts)).withColumn("_chunk", F.size(F.filter("_starts", lambda s: s <= place))).drop("_starts")
+    last = F.max_by(F.col(f"`{value}`"), F.when(F.col(f"`{value}`").isNotNull(), place))
+    before = Window.partitionBy("_by").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(F.col(f"`{by}`").alias("_by"), F.col("_chunk")).agg(last.alias("_last"))
+    chunks = chunks.select("_by", F.col("_chunk").alias("_of"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    mine = Window.partitionBy(f"`{by}`", "_chunk").orderBy(f"`{order}`").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(chunks, F.col(f"`{by}`").eqNullSafe(F.col("_by")) & (F.col("_chunk") == F.col("_of")))
+    return out.withColumn(value, F.coalesce(F.last(F.col(f"`{value}`"), ignorenulls=True).over(mine), F.col("_carried"))).select(records.columns)
