@@ -67,3 +67,18 @@ def test_recall(spark):
         hits += len(best & got[t.vec_id[i]])
         total += len(best)
     assert total > 1000 and hits / total >= 0.9
+
+
+@pytest.mark.parametrize("n", [200, 500, 1000, 4000])
+def test_recall_of_small_tables(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got: dict[int, set[int]] = {}
+    for r in nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, n, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (n // 20 * 20) >= 0.9

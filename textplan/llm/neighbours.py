@@ -8,7 +8,9 @@ there, and the nearest lifted points are those with the largest product.
 
 Search: for each query, one priority queue holds the unexplored branches of
 all trees by their margin to the query. The best branch is followed down to
-its leaf, the other sides are queued, until PROBES leaves are found. Queries
+its leaf, the other sides are queued, until SHARE of the leaves are found, or
+as many as FLOOR vectors fill, if that is more: a table of up to FLOOR vectors
+is searched whole. Queries
 meet the vectors of their leaves by a join on (tree, leaf, part), are scored
 exactly in double precision, and the best of each leaf are merged.
 
@@ -28,6 +30,7 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ TREES, LEAF, SEED = 4, 160, 11
 #: Leaves of a tree at most, and the share of the forest's leaves that a query probes. Both are set by recall: among
 #: vectors without structure in 64 dimensions the nearest are hardly nearer than others, and 0.9 takes this much.
 LEAVES, SHARE = 64, 0.3
+#: Vectors whose number of leaves a query probes at least: a small table has few leaves, and a share of them finds too little.
+FLOOR = 3000
 SAMPLE = 65_536
 #: Vectors of a leaf that a task scores at a time.
 PART = 4096
@@ -207,7 +212,7 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, share: float = SHAR
     if not fitted.trees:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = spark.sparkContext.broadcast(fitted)
-    probes = max(1, round(share * sum(t.leaves for t in fitted.trees)))
+    probes = max(1, math.ceil(max(share, min(1.0, FLOOR / n)) * sum(t.leaves for t in fitted.trees)))
     parts = max(1, -(-n // (max(1, min(t.leaves for t in fitted.trees)) * PART)))
 
     indexed = points.select("point", "least", "v").mapInPandas(_index(forest), "tree int, leaf int, point long, least long, v array<double>")
