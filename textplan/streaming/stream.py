@@ -16,6 +16,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StringType, StructField, StructType
 
 from ..operators.segment import Fold
 from ..plans.plan import GroupPlan, NotStreamable, Plan
@@ -58,13 +59,17 @@ def _stateless(plan: Plan, lines: DataFrame, g: GroupPlan) -> DataFrame:
 
 
 def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> DataFrame:
-    matches, fields, _ = plan._matches(lines, g)
+    matches, fields, recorded = plan._matches(lines, g)
+    earlier = {str(c.args[-1]).strip("'\"") for e in plan.groups[: plan.groups.index(g)] for c in e.all_calls() if c.name == "record"}
+    if recorded or any(n in text for n in earlier for text in g.group.attrs.values()):
+        raise NotStreamable({g.name or "_anonymous_": ["records of several lines with recorded values need the lines of a batch"]})
+    types = StructType([StructField(f, StringType() if matches.schema[f].dataType == NullType() else matches.schema[f].dataType) for f in fields])
     rows = matches.select("input", "line_no", "p", F.to_json(F.struct(*[F.col(f"`{f}`") for f in fields])).alias("values"))
     roles, special = g.roles, g.roles.ends | g.roles.markers
     millis = pd.Timedelta(timeout).value // 1_000_000
 
     def go(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        out: list[tuple[str, int, str]] = []
+        out: list[tuple[str, int, int, int | None, str]] = []
         fold = Fold(roles)
         if state.exists:
             (saved,) = state.get
@@ -76,13 +81,13 @@ def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> DataF
                 fold.now = Open(d["rec"], d["opener"], d["start_line"], d["values"], d["ended"], d["end_line"], {int(k): v for k, v in d["count"].items()})
 
         def give(o) -> None:
-            if o is not None and o.values:
-                out.append((key[0], o.rec, json.dumps({f: o.values[f] for f in fields if f in o.values})))
+            if o is not None:
+                out.append((key[0], o.rec, o.start_line, o.end_line, json.dumps({f: o.values[f] for f in fields if f in o.values})))
 
         if state.hasTimedOut:
             give(fold.now)
             state.remove()
-            yield pd.DataFrame(out, columns=["input", "at", "record"])
+            yield pd.DataFrame(out, columns=["input", "at", "start_line", "end_line", "record"]).astype({"end_line": "Int64"})
             return
         frames = list(batches)
         t = pd.concat(frames).sort_values(["line_no", "p"]) if frames else pd.DataFrame(columns=["input", "line_no", "p", "values"])
@@ -97,6 +102,10 @@ def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> DataF
         keep = {"emitted": fold.emitted} | ({} if now is None else {"rec": now.rec, "opener": now.opener, "start_line": now.start_line, "values": now.values, "ended": now.ended, "end_line": now.end_line, "count": now.count})
         state.update((json.dumps(keep),))
         state.setTimeoutDuration(millis)
-        yield pd.DataFrame(out, columns=["input", "at", "record"])
+        yield pd.DataFrame(out, columns=["input", "at", "start_line", "end_line", "record"]).astype({"end_line": "Int64"})
 
-    return rows.groupBy("input").applyInPandasWithState(go, "input string, at bigint, record string", "saved string", "append", "ProcessingTimeTimeout")
+    folded = rows.groupBy("input").applyInPandasWithState(go, "input string, at bigint, start_line bigint, end_line bigint, record string", "saved string", "append", "ProcessingTimeTimeout")
+    # The group's functions and defaults, as in a batch; they also drop records without values.
+    typed = folded.withColumn("_v", F.from_json("record", types)).select("input", F.expr("cast(array() as array<bigint>)").alias("key"), F.col("at").alias("rec"), "at", "start_line", "end_line", *[F.col("_v")[f].alias(f) for f in fields])
+    df, names = plan._finish(typed, fields, [], g, lines)
+    return df.select("input", "at", F.to_json(F.struct(*[F.col(f"`{f}`") for f in names])).alias("record"))
