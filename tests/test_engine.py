@@ -411,3 +411,13 @@ def test_streamed_stanzas_take_group_functions(spark, tmp_path):
     assert got == want and [r["n"] for r in got] == [1, 4]
     with pytest.raises(NotStreamable):
         stream_records(compile_template('<group name="c" set="\'last\'">\nn {{ n | record("last") }}\n d {{ d }}\n</group>'), source)
+
+
+def test_ip_info_of_both_versions(spark):
+    rows = ["10.0.0.1/8", "2001:db8::1", "FE80::1/64", "::1", "::", "ff02::1", "2001:db8::/129", "a:b", "none"]
+    df = spark.createDataFrame([(str(i), f"ip {x}") for i, x in enumerate(rows)], "input string, text string")
+    got = {r.input: r.x for r in compile_template('<group name="i">\nip {{ x | ip_info }}\n</group>').records(df).select("input", "x").collect()}
+    assert (got["0"].ip, got["0"].version, got["0"].is_private) == ("10.0.0.1", 4, True)
+    assert (got["1"].ip, got["1"].compressed, got["1"].exploded, got["1"].version, got["1"].max_prefixlen) == ("2001:db8::1", "2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", 6, 128)
+    assert got["2"].ip == "fe80::1" and got["2"].is_link_local and got["3"].is_loopback and got["4"].is_unspecified and got["5"].is_multicast
+    assert not got["1"].is_multicast and all(got.get(i) is None for i in "678")

@@ -347,8 +347,35 @@ def _truncate(v, a, k):
     return v.to(F.substring(v.text, 1, n), "string") if n > 0 else v
 
 
+IP_FACTS = "ip string, compressed string, exploded string, version int, max_prefixlen int, is_private boolean, is_loopback boolean, is_multicast boolean, is_link_local boolean, is_reserved boolean, is_unspecified boolean"
+
+
+def _ip_info_v6() -> Callable:
+    @F.pandas_udf(IP_FACTS)
+    def look(s: pd.Series) -> pd.DataFrame:
+        import ipaddress
+
+        names = [f.split()[0] for f in IP_FACTS.split(", ")]
+
+        def one(x):
+            try:
+                ip = None if x is None else ipaddress.ip_interface(x).ip
+            except ValueError:
+                ip = None
+            if ip is None or ip.version != 6:
+                return [None] * len(names)
+            return [str(ip), *(getattr(ip, n) for n in names[1:])]
+
+        return pd.DataFrame([one(x) for x in s], columns=names, dtype=object)
+
+    return look
+
+
 def _ip_info(v, a, k):
-    """Facts of an IPv4 address (with or without a prefix length); null for other text. IPv6 needs `ip_info_v6`."""
+    """Facts of an IPv4 or IPv6 address (with or without a prefix length); null for other text.
+
+    IPv4 is computed by Columns; a Python worker gives the facts of IPv6 as Python's ipaddress has them, fully exploded.
+    """
     c = F.regexp_replace(strip(v.text), r"""^["']|["']$""", "")
     ip = F.regexp_replace(c, "/.*$", "")
     n = ipv4_number(ip)
@@ -365,7 +392,8 @@ def _ip_info(v, a, k):
         within("127.0.0.0", 8).alias("is_loopback"), within("224.0.0.0", 4).alias("is_multicast"), within("169.254.0.0", 16).alias("is_link_local"),
         within("240.0.0.0", 4).alias("is_reserved"), (n == 0).alias("is_unspecified"),
     )
-    return v.to(F.when(c.rlike(f"^{IPV4}(/[0-9]{{1,2}})?$"), facts), "struct")
+    v6 = _ip_info_v6()(F.when(c.contains(":"), c))
+    return v.to(F.when(c.rlike(f"^{IPV4}(/[0-9]{{1,2}})?$"), facts).when(c.contains(":") & v6["ip"].isNotNull(), v6), "struct")
 
 
 def _geoip(v, a, k):
