@@ -421,3 +421,16 @@ def test_ip_info_of_both_versions(spark):
     assert (got["1"].ip, got["1"].compressed, got["1"].exploded, got["1"].version, got["1"].max_prefixlen) == ("2001:db8::1", "2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", 6, 128)
     assert got["2"].ip == "fe80::1" and got["2"].is_link_local and got["3"].is_loopback and got["4"].is_unspecified and got["5"].is_multicast
     assert not got["1"].is_multicast and all(got.get(i) is None for i in "678")
+
+
+def test_nations_are_whole_or_refused(spark, tmp_path):
+    from textplan.plans.plan import LITERAL_ROWS
+    from textplan.queries import nations
+
+    for n in (1001, LITERAL_ROWS + 1):
+        spark.range(n).selectExpr("id n_nationkey", "cast(id as string) n_name", "id n_regionkey").write.mode("overwrite").parquet(str(tmp_path / "nation.parquet"))
+        if n <= LITERAL_ROWS:
+            assert len(nations(spark, str(tmp_path))) == n
+        else:
+            with pytest.raises(ValueError):
+                nations(spark, str(tmp_path))

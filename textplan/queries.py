@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import inputs as input_functions
 from .functions import outputs as output_functions
-from .plans.plan import compile_template
+from .plans.plan import LITERAL_ROWS, compile_template
 from .sources.joins import as_of, lookup_join, search_join
 from .sources.readers import as_text, lookup_table
 
@@ -241,7 +241,10 @@ def customer_lines(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
 
 
 def nations(spark: SparkSession, sf_dir: str) -> dict[str, Any]:
-    return {str(r.n_nationkey): {"name": r.n_name, "region": str(r.n_regionkey)} for r in table(spark, sf_dir, "nation").limit(1000).collect()}
+    rows = table(spark, sf_dir, "nation").limit(LITERAL_ROWS + 1).collect()
+    if len(rows) > LITERAL_ROWS:
+        raise ValueError(f"nation has more than {LITERAL_ROWS} rows; join it with lookup_join")
+    return {str(r.n_nationkey): {"name": r.n_name, "region": str(r.n_regionkey)} for r in rows}
 
 
 @query("lookup_rows", "SELECT c_custkey AS custkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
