@@ -2,8 +2,10 @@
 
 Templates of licence notices are indexed word by word: a posting is a template
 and a position. In each document, words of the licence vocabulary are looked
-up and the document's rarest of them (highest inverse document frequency over
-the whole corpus) give the anchors. A posting and a place in the document fix
+up. The anchors are chosen once for the corpus, not for each document: the
+rarest words of a template's key phrase (highest inverse document frequency
+over the whole corpus), all of which must stand anyway, so that no place is
+lost. A posting and a place in the document fix
 where the template would begin; beginnings on which all anchors of a template agree are
 candidates, and at each the template's mandatory key phrase must stand at its
 place before the template's label is given. Base phrases are found everywhere
