@@ -73,5 +73,31 @@ def test_matches_brute_force(spark, size, percent, block, fan, monkeypatch):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()], key=str) == brute(rows, size, percent)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    """Two classes that have only an id in common are linked, also where it is the least of neither, or of both."""
+    rows = [(3, "a b c d"), (7, "a b c d"), (7, "x y z w"), (9, "x y z w"), (20, "k l m n"), (20, "o p q r"), (21, "o p q r"), (30, "e f"), (31, "e f"), (31, "g h"), (32, "g h"), (32, "i j"), (33, "i j")]
+    rows = [(*r, 1, "c", 2) for r in rows]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, 85)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()], key=str) == brute(rows, 3, 85)
+
+
+def test_long_texts_and_words_that_defeat_polynomials(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(5000)}" for _ in range(400_000)]
+    other = list(long)
+    other[::100] = ["changed"] * len(other[::100])
+    one = two = ""
+    for _ in range(11):
+        one, two = one + two if one else "ab", two + one if two else "ba"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "short text here"), (4, f"{one} {two} {one}"), (5, f"{two} {one} {two}")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError, match="integer ids"):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

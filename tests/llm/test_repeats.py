@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from textplan.llm import repeats, suffixes
+from textplan.llm._text import hash_words
 from textplan.llm.repeats import lempel_ziv_dedup, suffix_array_dedup
 from textplan.llm.suffixes import repeated_suffixes, sort_suffixes
 
@@ -41,12 +42,16 @@ def corpus(seed, n=60):
             a = r.randint(0, 40)
             parts += [s[a : a + r.randint(60, 500)], prose(r.randint(0, 30))]
         rows.append((i, r.choice([" ", "\n", "  "]).join(parts), "k", 1, 2))
+    rows += [(400 + i, " ".join(prose(1) for _ in range(4000)), "k", 1, 2) for i in range(2)]
+    rows.append((402, prose(3000) + rows[-1][1][:9000] + "x" * 20_000 + rows[-2][1][500:], "k", 1, 2))
+    # One passage between ever other texts: many contents of one anchor.
+    rows += [(500 + i, prose(20) + " " + shared[0] + " " + prose(20), "k", 1, 2) for i in range(30)]
     rows += [(100, None, None, None, None), (101, "", "k", 1, 1), (None, rows[3][1], "k", 1, 1), (102, "x" * 900, "k", 1, 1), (103, "ab " * 300, "k", 1, 1), rows[5], rows[5], (104, rows[7][1], "k", 1, 1), (None, None, None, None, None)]
     return rows
 
 
 @pytest.mark.parametrize("words,width", [(False, 200), (False, 50), (True, 35), (True, 10)])
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [4096, 3, 1])
 def test_matches_brute_force(spark, words, width, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(width)
@@ -57,6 +62,30 @@ def test_matches_brute_force(spark, words, width, hot, monkeypatch):
     assert got == brute(rows, width, words)
 
 
+@pytest.mark.parametrize("words", [False, True])
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_the_method_decides(spark, words, hot, monkeypatch):
+    """Without the sort, or the parse, nothing is removed."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "factored_windows" if words else "repeated_windows", lambda values, *_: np.zeros(len(values) + 1, dtype=bool))
+    df = spark.createDataFrame(corpus(4), SCHEMA).repartition(3)
+    assert (lempel_ziv_dedup if words else suffix_array_dedup)(df, 20).where("n_removed > 0").count() == 0
+
+
+def test_words_that_defeat_polynomials(spark):
+    """Thue-Morse words of two letters have one polynomial hash modulo 2**64, whatever its base."""
+    one = two = ""
+    for _ in range(11):
+        one, two = one + two if one else "ab", two + one if two else "ba"
+    assert len(one) == 2048 and one != two
+    h = hash_words([one.encode(), two.encode(), one[:60].encode(), two[:60].encode(), b"a", b"b", b"", b"ab", b"ba"])
+    assert len(set(h.tolist())) == 9
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in lempel_ziv_dedup(df, 20).collect()] == [0, 0]
+    assert [r.n_removed for r in suffix_array_dedup(df, 2100).collect()] == [0, 0]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert suffix_array_dedup(df).count() == 0
@@ -80,4 +109,4 @@ def test_sorted_suffixes(large, monkeypatch):
             lcp = next((k for k in range(width) if texts[i][k] != texts[i - 1][k]), width)
             assert common[i] == lcp
         count = Counter(texts)
-        assert repeated_suffixes(data, starts, np.array([0, n]), width).tolist() == [count[raw[s : s + width]] > 1 for s in starts]
+        assert repeated_suffixes(data, starts, width).tolist() == [count[raw[s : s + width]] > 1 for s in starts]

@@ -1,8 +1,10 @@
 """Whole-batch text kernels: words, hashes and windows as numpy arrays, with no loop over words.
 
 All kernels see a batch of texts as one UTF-8 buffer and the offsets of the
-texts in it. Hashes are polynomials modulo 2**64 over random byte values,
-followed by a bit mixer, so a window of any length costs two operations.
+texts in it. Words and shingles are hashed eight bytes, or one word, at a time
+through a bit mixer. Grams that only deal out candidates have polynomials
+modulo 2**64, so that a gram of any length costs two operations; equal ones
+are compared afterwards by their content or a 128-bit digest of it.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E6C63D0876A9A47 | 1
@@ -52,14 +55,8 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each window [start, end); equal windows hash alike wherever they are."""
-    length = (end - start).astype(U)
-    return mix((sums[end] - sums[start]) * _power("down", len(sums))[start] + length * U(0xA24BAED4963EE407))
-
-
 def sliding_hash(sums: np.ndarray, k: int) -> np.ndarray:
-    """window_hash of every window of k values."""
+    """Polynomial hash of every window of k values; equal windows hash alike wherever they are."""
     n = len(sums) - 1 - k + 1
     return mix((sums[k:] - sums[:-k]) * _power("down", n) + U(k * 0xA24BAED4963EE407 % 2**64)) if n > 0 else np.zeros(0, dtype=U)
 
@@ -103,6 +100,45 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = j
 
 
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range: eight bytes at a time go through the mixer, all ranges at once; ranges of over 64 bytes one by one."""
+    left = end - start
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(left.astype(U) * U(0xA24BAED4963EE407))
+    live, depth = np.flatnonzero(left <= 64), 0
+    while len(live):
+        rest = (left[live] - depth).clip(0, 8).astype(U)
+        chunk = eight[start[live] + depth] & (U(2**64 - 1) >> (U(64) - U(8) * rest.clip(1, 8)))
+        out[live] = mix(out[live] ^ chunk)
+        depth += 8
+        live = live[left[live] > depth]
+    long = np.flatnonzero(left > 64)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def shingle_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k values, each taken through the mixer in turn."""
+    n = max(len(values) - k + 1, 0)
+    h = mix(values[:n] + U(k))
+    for i in range(1, k):
+        h = mix(h ^ values[i : n + i])
+    return h
+
+
+def digest_128(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of ranges of values, as two columns."""
+    raw = memoryview(np.ascontiguousarray(values).view(np.uint8).data if len(values) else b"")
+    start, end = start * values.itemsize, end * values.itemsize
+    found = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    halves = np.array(memoryview(found).cast("q") if found else [], dtype=np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
 class Words:
     """The words of a batch: byte range, text and hash of each."""
 
@@ -119,8 +155,7 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         #: Words of text i: of[i] up to of[i + 1].
         self.of = np.searchsorted(self.start, offsets, side="left")
-        self.sums = prefix((_BYTE[_LOWER] if lower else _BYTE)[buf])
-        self.hash = window_hash(self.sums, self.start, self.end)
+        self.hash = hash_ranges(_LOWER[buf] if lower else buf, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -129,26 +164,24 @@ class Words:
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The hashes that Words gives to these (already lower-cased) words."""
     at = np.cumsum([0, *map(len, words)])
-    buf = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return window_hash(prefix(_BYTE[buf]), at[:-1], at[1:])
+    return hash_ranges(np.frombuffer(b"".join(words), dtype=np.uint8), at[:-1], at[1:])
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
-def runs_of_windows(values: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of_windows(values: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of `width` values that lie in one text, gathered into runs that share an anchor.
 
     The anchor of a window is the smallest hash of its k-grams, so it depends
     on what the window holds alone, and equal windows anywhere have equal anchors.
-    Returns for each run: first window, number of windows, anchor, digest of
-    all values that its windows cover, and whether the anchor is in it more
-    than once (else no two of its windows are equal).
+    Returns for each run: first window, number of windows, anchor, and whether
+    the anchor is in it more than once (else no two of its windows are equal).
     """
     none = np.zeros(0, dtype=np.int64)
     if len(values) < width:
-        return none, none, none.astype(U), none.astype(U), none.astype(bool)
+        return none, none, none.astype(U), none.astype(bool)
     sums = prefix(values)
     grams, w = sliding_hash(sums, k), width - k + 1
     low = sliding_min(grams, w)
@@ -164,7 +197,7 @@ def runs_of_windows(values: np.ndarray, offsets: np.ndarray, width: int, k: int)
     in_first = (np.lib.stride_tricks.sliding_window_view(grams, w)[start] == anchor[:, None]).sum(1)
     entering = np.r_[0, np.cumsum(low == grams[w - 1 :])]
     twice = in_first + entering[last + 1] - entering[start + 1] > 1
-    return start, last - start + 1, anchor, window_hash(sums, start, last + width), twice
+    return start, last - start + 1, anchor, twice
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

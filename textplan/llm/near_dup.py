@@ -18,9 +18,13 @@
    lost and a bucket of thousands of copies costs one pair for each.
 
 At similarity s a pair shares no band with probability (1 - s^ROWS)^BANDS,
-6e-11 at 0.85 and 5e-8 at 0.8; the estimate is trusted to six standard errors.
+6e-9 at 0.85 and 5e-6 at 0.8, while one of similarity 0.4 meets with 0.15; the
+estimate is trusted to six standard errors.
 
-Defined results: documents with fewer words than a shingle have their whole
+A document's id is its node. Rows of one id with different texts are in several
+classes; a link from the least of them to each of the others makes them one.
+
+Defined results: ids are integers (else ValueError); documents with fewer words than a shingle have their whole
 word sequence as one; null texts and texts without words have an empty set and
 are linked with nothing; rows with a null id are linked with nothing and have
 a null component; rows with one id are one node; an empty table gives an empty
@@ -37,13 +41,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegralType, LongType
 
 from ._store import Scratch
-from ._text import NOT_SPACE, U, Words, as_long, flat, mix, pieces, prefix, sliding_hash, window_hash
+from ._text import NOT_SPACE, U, Words, as_long, flat, mix, pieces, shingle_hash
 from .components import components
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, BITS = 40, 6, 4
 HASHES = BANDS * ROWS
 #: Classes of a bucket that are compared in one block.
 BLOCK = 1024
@@ -59,13 +63,12 @@ _FOLD = np.random.default_rng(8).integers(1, 2**63, ROWS, dtype=np.uint64) * U(2
 def shingle_sets(column, size: int) -> Iterator[np.ndarray]:
     """Sorted hashes of the distinct shingles of each text."""
     w = Words(*flat(column), NOT_SPACE, lower=True)
-    sums = prefix(w.hash)
-    all_ = sliding_hash(sums, size)
+    all_ = shingle_hash(w.hash, size)
     for a, b in zip(w.of[:-1], w.of[1:], strict=True):
         if b - a >= size:
             yield np.unique(all_[a : b - size + 1])
         elif b > a:
-            yield window_hash(sums, np.array([a]), np.array([b]))
+            yield shingle_hash(w.hash[a:b], b - a)
         else:
             yield all_[:0]
 
@@ -251,6 +254,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     the other columns of `docs` and n_shingles, component_id (the smallest id
     that links reach) and kept (the id is component_id).
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; near_duplicates needs integer ids")
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -289,6 +294,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
 
     pairs = scratch.keep("pairs", likely(bucket.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()))
     links = confirm(pairs)
+    # Ids with different sets: each of their classes is linked to the least one.
+    several = linked.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+    several = scratch.keep("several", linked.select("id", "digest").join(several, "id").join(classes.select("digest", "cls"), "digest").select("id", "cls").distinct())
+    if not several.isEmpty():
+        links = links.unionByName(several.join(several.groupBy("id").agg(F.min("cls").alias("a")), "id").select("a", F.col("cls").alias("b")))
     labels = components(links, scratch, "first")
 
     # Members of one bucket that are still apart.
@@ -309,7 +319,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "second")
     named = scratch.keep("named", classes.select("digest", "cls").join(labels, classes.cls == labels.node, "left").select("digest", F.coalesce("component", "cls").alias("component")))
-    scratch.drop("classes", "bucket", "pairs", "still", "texts")
+    scratch.drop("classes", "bucket", "pairs", "still", "texts", "several")
     out = signed.select("rest", "id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(*[F.col(f"rest.`{f.name}`") for f in fields], F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

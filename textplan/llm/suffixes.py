@@ -9,6 +9,7 @@ U = np.uint64
 SHALLOW = 32
 #: Suffixes of one group that a blind trie orders; quicksort goes on with larger ones.
 LARGE = 20_000
+_BYTE_LIMITS = U(1) << np.arange(8, 64, 8, dtype=U)
 
 
 def _words(data: np.ndarray, depth: int) -> np.ndarray:
@@ -20,6 +21,11 @@ def _words(data: np.ndarray, depth: int) -> np.ndarray:
     return w
 
 
+def _common_bytes(x: np.ndarray) -> np.ndarray:
+    """Leading bytes in which two big-endian numbers with this xor (not 0) agree."""
+    return 7 - np.searchsorted(_BYTE_LIMITS, x, side="right")
+
+
 class _Node:
     __slots__ = ("depth", "kids", "leaf")
 
@@ -110,7 +116,7 @@ def sort_suffixes(data: np.ndarray, suffixes: np.ndarray, width: int, shallow: i
         first[1:] = (w[1:] != w[:-1]) | (g[1:] != g[:-1])
         at = np.flatnonzero(first[1:] & (g[1:] == g[:-1])) + 1
         x = w[at] ^ w[at - 1]
-        common[live[at]] = depth + (63 - np.floor(np.log2(np.maximum(x, U(1)).astype(np.float64))).astype(np.int64).clip(0, 63)) // 8
+        common[live[at]] = depth + _common_bytes(x)
         head = np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))
         group[live] = live[head]
         size = np.bincount(head, minlength=len(live))[head]
@@ -133,31 +139,89 @@ def sort_suffixes(data: np.ndarray, suffixes: np.ndarray, width: int, shallow: i
 
 
 def _deep(raw: bytes, words: np.ndarray, order: np.ndarray, common: np.ndarray, group: np.ndarray, live: np.ndarray, depth: int, width: int) -> None:
-    """Order groups that agree in `depth` bytes: at once where they agree over the whole width, else by a blind trie."""
+    """Order groups that agree in `depth` bytes: at once where they agree over the whole width, pairs by one comparison, others by a blind trie."""
     if not len(live):
         return
     heads = order[group[live]]
-    differs = np.zeros(len(live), dtype=bool)
+    split = np.full(len(live), width)  # how far each agrees with the first of its group
+    rest = np.arange(len(live))
     for d in range(depth, width, 8):
-        x = words[order[live] + d] ^ words[heads + d]
+        x = words[order[live[rest]] + d] ^ words[heads[rest] + d]
         if width - d < 8:
             x >>= U(8 * (8 - (width - d)))
-        differs |= x != 0
+            x <<= U(8 * (8 - (width - d)))
+        differ = x != 0
+        split[rest[differ]] = d + _common_bytes(x[differ])
+        rest = rest[~differ]
+        if not len(rest):
+            break
     g = group[live]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    mixed = np.logical_or.reduceat(differs, starts)
+    mixed = np.minimum.reduceat(split, starts) < width
     sizes = np.diff(np.r_[starts, len(live)])
     follower = np.ones(len(live), dtype=bool)
     follower[starts] = False
-    common[live[follower]] = width
-    for s, m in zip(starts[mixed], sizes[mixed], strict=True):
+    common[live[follower]] = split[follower]
+    pair = starts[mixed & (sizes == 2)]
+    one, two = live[pair], live[pair + 1]
+    at = split[pair + 1] // 8 * 8
+    swap = words[order[one] + at] > words[order[two] + at]
+    order[one[swap]], order[two[swap]] = order[two[swap]], order[one[swap]]
+    several = mixed & (sizes > 2)
+    for s, m in zip(starts[several].tolist(), sizes[several].tolist(), strict=True):
         places = live[s : s + m]
         sorted_, lcp = _blind_trie(raw, order[places].tolist(), depth, width)
         order[places] = sorted_
         common[places[1:]] = lcp[1:]
 
 
-def repeated_suffixes(data: np.ndarray, windows: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, extra: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
+    """At which places of these texts a window of `width` bytes begins that occurs at another place too.
+
+    Each text is a run of windows: `classes` numbers equal runs, one after the
+    other; `extra` marks second places of a run, which need no result;
+    `shared` marks texts whose windows may occur in another text's class, or
+    twice in one.
+
+    First the runs with two places are sorted as suffixes. Where neighbours
+    agree beyond a window, the windows that follow agree as well and are taken
+    over without being sorted. The rest are then sorted one by one, together
+    with all windows that they may equal.
+    """
+    found = np.zeros(len(data) + 1, dtype=bool)
+    size = np.diff(offsets)
+    two = np.flatnonzero(np.bincount(classes, minlength=1)[classes] > 1)
+    if len(two):
+        order, common = sort_suffixes(data, offsets[two], width)
+        text = np.searchsorted(offsets, order, side="right") - 1
+        room = np.minimum(size[text[1:]], size[text[:-1]])
+        reach = np.minimum(common[1:], room)
+        live = np.flatnonzero((common[1:] >= width) & (room >= width))
+        words = _words(data, 8)
+        while len(live):  # eight bytes further at a time
+            a, b = order[live] + reach[live], order[live + 1] + reach[live]
+            gain = np.minimum(np.where(words[a] == words[b], 8, _common_bytes(words[a] ^ words[b])), room[live] - reach[live])
+            reach[live] += gain
+            live = live[(gain == 8) & (reach[live] < room[live])]
+        far = np.zeros(len(order), dtype=np.int64)
+        far[1:] = reach
+        far[:-1] = np.maximum(far[:-1], reach)
+        mine = (far >= width) & ~extra[text]
+        edge = np.zeros(len(found) + 1, dtype=np.int64)
+        np.add.at(edge, order[mine], 1)
+        np.add.at(edge, order[mine] + far[mine] - width + 1, -1)
+        found |= np.cumsum(edge)[:-1] > 0
+    place = np.arange(len(data))
+    owner = np.repeat(np.arange(len(size)), size)
+    window = place + width <= np.repeat(offsets[1:], size)
+    window &= (shared & ~extra)[owner]
+    if (window & ~found[:-1]).any():
+        at = place[window]
+        found[at] |= repeated_suffixes(data, at, width)
+    return found
+
+
+def repeated_suffixes(data: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
     """Which windows of `width` bytes are equal to another: neighbours in sorted order that agree over the whole width."""
     found = np.zeros(len(windows), dtype=bool)
     if len(windows) < 2:
