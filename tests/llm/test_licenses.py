@@ -1,7 +1,11 @@
+import math
 import random
 import re
+from collections import Counter
 
-from textplan.llm.licenses import BASE, RESULT, TEMPLATES, scan_licenses
+import numpy as np
+
+from textplan.llm.licenses import BASE, RESULT, TEMPLATES, Index, scan_licenses
 
 SCHEMA = "doc_id long, text string, labels int, rest int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,6 +47,51 @@ def test_base_matches_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score == 1 if r.n_base else True)
 
 
+def stands(w, phrase, at):
+    return at >= 0 and w[at : at + len(phrase)] == phrase
+
+
+def brute_labels(rows):
+    """Labels and score of each row, by trying every template at every place."""
+    texts = [words(r[1]) for r in rows]
+    df = Counter(x for w in texts for x in set(w))
+    idf = lambda x: math.log((1 + len(rows)) / (1 + df[x])) + 1e-3
+    out = []
+    for w in texts:
+        labels, score = set(brute(" ".join(w))[4].split(",")) - {""}, 0.0
+        if labels:
+            score = 1.0
+        for t, label, key in TEMPLATES:
+            t, key = t.split(), key.split()
+            shift = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+            for at in range(-shift, len(w)):
+                if stands(w, key, at + shift):
+                    labels.add(label)
+                    score = max(score, sum(idf(x) for i, x in enumerate(t) if 0 <= at + i < len(w) and w[at + i] == x) / sum(map(idf, t)))
+        out.append((",".join(sorted(labels)), round(min(score, 1.0), 9)))
+    return out
+
+
+def test_labels_and_score_match_brute_force(spark):
+    rows = [r for r in data() if len(r[1] or "") < 10_000]
+    got = scan_licenses(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in got) == sorted((str(r[0]), *b) for r, b in zip(rows, brute_labels(rows), strict=True))
+
+
+def test_anchors_are_each_documents_own():
+    index = Index()
+    idf = np.linspace(1, 2, len(index.words))
+    n = next(i for i, (t, _, _) in enumerate(TEMPLATES) if t.startswith("licensed under the apache"))
+    rare = index.rare_first(idf)[n]
+    of = {w: i for i, w in enumerate(index.words)}
+    held = np.zeros((3, len(index.words)), dtype=bool)
+    for row, text in enumerate([TEMPLATES[n][0], TEMPLATES[n][2], "licensed under the apache version"]):
+        held[row, [of[w] for w in text.split()]] = True
+    one, two, none = ({index.words[w] for w in rare[a]} for a in index.anchors(n, rare, held))
+    assert one != two and len(one) >= 3 and one & set(TEMPLATES[n][2].split()) and two <= set(TEMPLATES[n][2].split())
+    assert not none  # a word of the key phrase is missing
+
+
 def test_every_template_is_found(spark):
     rows = [(i, f"Some prose here. {t.capitalize()}. And more.") for i, (t, _, _) in enumerate(TEMPLATES)]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -2,14 +2,18 @@
 
 Templates of licence notices are indexed word by word: a posting is a template
 and a position. In each document, words of the licence vocabulary are looked
-up. The anchors are chosen once for the corpus, not for each document: the
-rarest words of a template's key phrase (highest inverse document frequency
-over the whole corpus), all of which must stand anyway, so that no place is
-lost. A posting and a place in the document fix
-where the template would begin; beginnings on which all anchors of a template agree are
-candidates, and at each the template's mandatory key phrase must stand at its
-place before the template's label is given. Base phrases are found everywhere
-with the same index (each is a template of its own that must match whole).
+up. A document's anchors for a template are the template's words that the
+document holds, rarest first (highest inverse document frequency over the
+whole corpus): ANCHORS of them, and more until one is of the template's key
+phrase. Two documents thus use different anchors for one template where they
+hold different words of it. A posting and a place in the document fix where
+the template would begin; beginnings on which all the anchors of the key phrase
+agree are candidates (the others may stand or not: a notice may be reworded
+around its key phrase), and at each the whole mandatory key phrase must stand
+at its place before the template's label is given. As anchors of the key phrase
+must stand with it, no place is lost. Base phrases are found everywhere with
+the same index (each is a template of its own that must match whole, anchored
+at the rarest of its words).
 
 Scale: texts are read where they lie, twice: once for document frequencies of
 the (fixed, small) vocabulary, summed with partial aggregation, and once for
@@ -71,7 +75,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("all rights reserved", "all-rights-reserved", "all rights reserved"),
 ]
 
-#: Rare words of a document that anchor candidates, for each template.
+#: The document's rarest words of a template that anchor candidates.
 ANCHORS = 3
 
 
@@ -102,9 +106,20 @@ class Index:
         at = np.searchsorted(self.sorted_hash, w.hash).clip(max=len(self.hash) - 1)
         return np.where(self.sorted_hash[at] == w.hash, self.order[at], -1)
 
-    def rare_first(self, idf: np.ndarray) -> list[list[tuple[int, int]]]:
-        """The postings (word, position) of each template's key phrase, rarest words first."""
-        return [sorted(((int(w), at + i) for i, w in enumerate(key)), key=lambda x: (-idf[x[0]], x)) for at, key in self.keys]
+    def rare_first(self, idf: np.ndarray) -> list[np.ndarray]:
+        """Each template's distinct words, rarest first."""
+        return [np.array(sorted(set(t.tolist()), key=lambda w: (-idf[w], w))) for t in self.numbers]
+
+    def anchors(self, t: int, rare: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Which of a template's words (columns, rarest first) anchor it in each text (rows), given the words that texts hold.
+
+        No word does where the key phrase can't stand, as one of its words is missing.
+        """
+        own = held[:, rare]
+        in_key = np.isin(rare, self.keys[t][1])
+        keys_before = np.cumsum(own & in_key, axis=1) - (own & in_key)
+        chosen = own & ((np.cumsum(own, axis=1) <= ANCHORS) | (in_key & (keys_before == 0)))
+        return chosen & own[:, in_key].all(1)[:, None]
 
 
 def _stands_at(number: np.ndarray, phrase: np.ndarray, at: np.ndarray, stop: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -131,7 +146,7 @@ def _frequencies(index: Index):
     return go
 
 
-def scan_shard(column, index: Index, postings: list[list[tuple[int, int]]], idf: np.ndarray) -> list[tuple]:
+def scan_shard(column, index: Index, rare: list[np.ndarray], idf: np.ndarray) -> list[tuple]:
     """n_words, n_base, first, last, base labels, labels, score of each text."""
     w = Words(*flat(column), ALNUM, lower=True)
     n_texts = len(w.of) - 1
@@ -149,10 +164,10 @@ def scan_shard(column, index: Index, postings: list[list[tuple[int, int]]], idf:
     text_of = lambda at: np.searchsorted(w.of, at, side="right") - 1
 
     for phrase, label in index.base:
-        rare = int(np.argmax(idf[phrase]))
-        at = places(int(phrase[rare])) - rare
+        anchor = int(np.argmax(idf[phrase]))
+        at = places(int(phrase[anchor])) - anchor
         at = at[at >= 0]
-        text = text_of(at + rare)
+        text = text_of(at + anchor)
         ok = _stands_at(number, phrase, at, stops[text], begins[text])
         at, text = at[ok], text[ok]
         n_base += np.bincount(text, minlength=n_texts)
@@ -162,13 +177,23 @@ def scan_shard(column, index: Index, postings: list[list[tuple[int, int]]], idf:
             base[i].add(label)
         score[text] = 1.0
 
-    for t, label, (key_at, key), post in zip(index.numbers, index.labels, index.keys, postings, strict=True):
-        # Beginnings that the rarest words agree on, intersected posting by posting.
-        anchors = post[:ANCHORS]
-        votes = np.concatenate([places(word) - i for word, i in anchors])
-        begin, count = np.unique(votes, return_counts=True)
-        begin = begin[(count == len(anchors)) & (begin + key_at >= 0)]
-        begin = begin[begin + key_at + len(key) <= len(number)]
+    held_words = np.zeros((n_texts, len(index.words)), dtype=bool)
+    held_words[text_of(known), number[known]] = True
+    for n, (t, label, (key_at, key), words) in enumerate(zip(index.numbers, index.labels, index.keys, rare, strict=True)):
+        chosen = index.anchors(n, words, held_words)
+        if not chosen.any():
+            continue
+        # Beginnings by the postings of each text's anchors of the key phrase, and how many of them must agree.
+        votes, needed = [], np.zeros(n_texts, dtype=np.int64)
+        for c, word in enumerate(words.tolist()):
+            for i in np.flatnonzero(key == word).tolist():
+                at = places(word)
+                votes.append(at[chosen[text_of(at), c]] - (key_at + i))
+                needed += chosen[:, c]
+        begin, count = np.unique(np.concatenate(votes), return_counts=True)
+        inside = (begin + key_at >= 0) & (begin + key_at + len(key) <= len(number))
+        begin, count = begin[inside], count[inside]
+        begin = begin[count == needed[text_of(begin + key_at)]]
         if not len(begin):
             continue
         text = text_of(begin + key_at)
@@ -185,12 +210,12 @@ def scan_shard(column, index: Index, postings: list[list[tuple[int, int]]], idf:
     return [(int(stops[i] - begins[i]), int(n_base[i]), int(first[i]) if n_base[i] else None, int(last[i]) if n_base[i] else None, ",".join(sorted(base[i])), ",".join(sorted(base[i] | labels[i])), float(min(score[i], 1.0))) for i in range(n_texts)]
 
 
-def _scan(index: Index, postings, idf: np.ndarray, names: list[str]):
+def _scan(index: Index, rare: list[np.ndarray], idf: np.ndarray, names: list[str]):
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            found = list(zip(*scan_shard(b["text"], index, postings, idf), strict=True))
+            found = list(zip(*scan_shard(b["text"], index, rare, idf), strict=True))
             yield pa.RecordBatch.from_arrays([b["rest"], *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], names=names)
 
     return go
