@@ -434,3 +434,48 @@ def test_nations_are_whole_or_refused(spark, tmp_path):
         else:
             with pytest.raises(ValueError):
                 nations(spark, str(tmp_path))
+
+
+def test_default_records(spark):
+    results = lambda t, **texts: as_python(compile_template(t).results(compile_template(t).inputs(spark, texts)))
+    assert results('<group name="g" default="none">\na {{ x }}\n b {{ y }}\n</group>', one="zzz", two="a 1") == [{"g": {"x": "none", "y": "none"}}, {"g": {"x": "1", "y": "none"}}]
+    # A variable of the first pattern has a default: all that have one take theirs.
+    assert results('<group name="g">\na {{ x | default("0") }} {{ z }}\n b {{ y | default("none") }}\n</group>', one="zzz") == [{"g": {"x": "0", "y": "none"}}]
+    assert results('<group name="g">\na {{ x }}\n b {{ y | default("none") }}\n</group>', one="zzz") == [{}]
+    # Typed fields keep their type.
+    rows = compile_template('<group name="g" default="7">\na {{ x | to_int }} {{ y }}\n</group>').records(spark.createDataFrame([("i", "zzz"), ("j", "a 1 b")], "input string, text string"))
+    assert sorted((r.input, r.x, r.y) for r in rows.collect()) == [("i", 7, "7"), ("j", 1, "b")]
+    # Of a nested group: a parent without one has the default.
+    assert results('<group name="p*">\na {{ x }}\n<group name="c" default="none">\n b {{ y }}\n</group>\n</group>', one="a 1\n b 2\na 3") == [{"p": [{"x": "1", "c": {"y": "2"}}, {"x": "3", "c": {"y": "none"}}]}]
+
+
+def test_wired_inputs(spark, tmp_path):
+    for n in ("a.txt", "b.txt", "sub/c.txt", "d.cfg"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(f"v {n[-5]}\nw {n[-5]}")
+    g = '<group name="g">\nv {{ v }}\n</group>\n<group name="h">\nw {{ w }}\n</group>'
+
+    def values(tags, path="g", **kw):
+        plan = compile_template(tags + g)
+        return sorted(r[1] for r in plan.records(plan.inputs(spark, **kw), path).collect())
+
+    assert values(f'<input load="file" url="{tmp_path}/a.txt" name="one"/>') == ["a"]
+    assert values(f'<input load="directory" url="{tmp_path}" extensions="txt"/>') == ["a", "b", "c"]
+    assert values(f'<input load="directory" url="{tmp_path}" filters="/[ad][.], sub"/>') == ["a", "c", "d"]
+    only = f'<input load="directory" url="{tmp_path}" extensions="txt" groups="h"/>\n<input name="two" load="text" groups="g">\nv x\nw y\n</input>'
+    assert values(only) == ["x"] and values(only, "h") == ["a", "b", "c"]
+    assert values(f'<input load="file" url="{tmp_path}/a.txt" name="one"/>', passed={"one": "v passed"}) == ["passed"]
+    with pytest.raises(ValueError, match="no url"):
+        values('<input load="file"/>')
+    with pytest.raises(ValueError, match="no such way"):
+        values('<input load="gnmi" url="x"/>')
+    with pytest.raises(PermissionError):
+        values('<input load="url" url="http://127.0.0.1:1/"/>')
+
+
+def test_yang_rules(spark):
+    t = '<group name="g" yang="rules">\nn {{ n }}\n</group>'
+    plan = compile_template(t, variables={"rules": {"n": {"type": "integer"}}})
+    assert plan.warnings == [] and compile_template(t).warnings and "rules" in compile_template(t).warnings[0]
+    got = plan.records(spark.createDataFrame([("i", "n 1"), ("j", "n x")], "input string, text string"))
+    assert sorted((r.n, r._validation_valid_) for r in got.collect()) == [("1", True), ("x", False)]

@@ -28,10 +28,14 @@ def extract_commands(text: Column, *commands: str) -> Column:
 FUNCTIONS: dict[str, Callable] = {"extract_commands": extract_commands, "test": lambda c, *a: c}
 
 
+def of_tag(i: int, node) -> Column:
+    """Whether an input came from this tag, or was passed under its name."""
+    return F.coalesce(F.col("tag") == i, F.col("input") == node.attrs.get("name", "Default_Input"), F.lit(False))
+
+
 def apply_inputs(plan, inputs: DataFrame) -> DataFrame:
-    """Inputs whose tag has functions or macros go through them; a macro that returns False empties the text."""
-    for node in plan.template.inputs:
-        name = node.attrs.get("name", "Default_Input")
+    """Inputs (input, text, tag) whose tag has functions or macros go through them; a macro that returns False empties the text."""
+    for i, node in enumerate(plan.template.inputs):
         c: Column = F.col("text")
         for call in parse_calls(node.attrs.get("functions", "")):
             f = plan.functions["input"].get(call.name) or FUNCTIONS.get(call.name)
@@ -39,10 +43,12 @@ def apply_inputs(plan, inputs: DataFrame) -> DataFrame:
                 plan.warnings.append(f"no such input function: {call.name}")
                 continue
             c = f(c, *call.args)
+        if "extract_commands" in node.attrs:
+            c = extract_commands(c, *[x.strip() for x in node.attrs["extract_commands"].split(",")])
         for m in [x.strip() for x in node.attrs.get("macro", "").split(",") if x.strip()]:
             from ..operators.macros import match_macro
 
             run = match_macro(plan.macros[m], m, plan.variables)(c)
             c = F.when(run["keep"], run["value"]).otherwise(F.lit(""))
-        inputs = inputs.withColumn("text", F.when(F.col("input") == name, c).otherwise(F.col("text")))
+        inputs = inputs.withColumn("text", F.when(of_tag(i, node), c).otherwise(F.col("text")))
     return inputs

@@ -24,6 +24,7 @@ from ..operators import macros as macro_functions
 from ..operators.lines import to_lines
 from ..operators.segment import KEYS, Roles, segment
 from ..pattern import HOLE, Call, Name, Pattern, Variable, compile_line, dynamic_names, parse_call, parse_calls
+from ..sources.readers import load_input
 from ..template import Group, Template, parse
 
 #: Functions that a group may use and still be read record by record.
@@ -32,6 +33,8 @@ STREAMABLE = {"contains", "containsall", "exclude", "excludeall", "equal", "cont
 _NEVER_NULL = {*match_functions.CONDITIONS, "upper", "lower", "strip", "split", "join", "replace", "IP", "mac_eui", "count", "record", "to_list", "to_str", "to_ip", "to_net", "to_unicode", "sformat", "resub", "replaceall", "resuball", "prepend", "append", "copy", "default", "unrange", "truncate", "print", "joinmatches"}
 #: Rows of a lookup table that become literals of the plan.
 LITERAL_ROWS = 5000
+#: Types of fields that a default can fill.
+_PLAIN = ("string", "long", "integer", "double", "boolean")
 _RESERVED = {"ignore", "_start_", "_end_", "_exact_", "_exact_space_"}
 
 
@@ -147,6 +150,9 @@ class Plan:
             names = [v.name for v in p.variables]
             for n in {n for n in names if names.count(n) > 1 and n not in _RESERVED}:
                 self.warnings.append(f"{n} occurs twice in {p.line!r}; the last one counts")
+        yang = g.group.attrs.get("yang")
+        if yang and not isinstance(self.variables.get(yang), dict):
+            self.warnings.append(f"yang={yang!r} is not checked: YANG modules are not compiled; name a variable with rules, as for validate")
         for c in g.children:
             self._check_group(c)
 
@@ -407,15 +413,50 @@ class Plan:
                 x = F.lit(d[f] if isinstance(d, dict) else d)
                 if f not in r.fields:
                     r.put(f, x)
-                elif r.df.schema[f].dataType.typeName() in ("string", "long", "integer", "double", "boolean"):
+                elif r.df.schema[f].dataType.typeName() in _PLAIN:
                     r.put(f, F.coalesce(group_functions.col(f), x.try_cast(r.df.schema[f].dataType)))
+        if isinstance(rules := self.variables.get(a.get("yang", "")), dict) and rules:
+            table["validate"](r, [a["yang"]], {})
         some = F.lit(g.never_empty)
         for f in [] if g.never_empty else r.fields:
             kind = r.df.schema[f].dataType.typeName()
             some = some | (F.coalesce(F.size(group_functions.col(f)), F.lit(0)) > 0 if kind == "array" else group_functions.col(f).isNotNull())
         if not g.never_empty:
             r.where(some)
-        return r.df.select(*KEYS, "rec", "at", "start_line", "end_line", *[group_functions.col(f) for f in r.fields]), r.fields
+        out = r.df.select(*KEYS, "rec", "at", "start_line", "end_line", *[group_functions.col(f) for f in r.fields])
+        absent = self._default_record(g)
+        if absent and not lines.isStreaming:  # an unbounded input has no end at which nothing was found
+            out = self._with_default_record(out, r.fields, absent, lines)
+        return out, r.fields
+
+    def _default_record(self, g: GroupPlan) -> dict[str, Any]:
+        """What an input (or a parent's record) without records of this group has in their place; empty: nothing.
+
+        A text as `default=` stands for every variable of the group. Else, if a
+        variable of the first pattern has default(), all variables that have
+        one take theirs.
+        """
+        d = g.group.attrs.get("default")
+        value = self.variables.get(d, d) if d else None
+        variables = [v for p in g.patterns for v in p.variables if v.name not in _RESERVED and v.name != "_line_"]
+        if isinstance(value, str):
+            return {v.name: value for v in variables}
+        first = {v.name for v in g.patterns[0].variables} if g.patterns else set()
+        own: dict[str, Any] = {}
+        for v in variables:
+            for c in v.calls:
+                if c.name == "default" and c.args:
+                    own.setdefault(v.name, _argument(c.args[0], self.variables))
+        return own if first & set(own) else {}
+
+    def _with_default_record(self, records: DataFrame, fields: list[str], absent: dict[str, Any], lines: DataFrame) -> DataFrame:
+        """A record of defaults for each input that has none; values that don't fit a field's type are null."""
+        values = [(F.lit(absent[f]).try_cast(records.schema[f].dataType) if f in absent and records.schema[f].dataType.typeName() in _PLAIN else F.lit(None).cast(records.schema[f].dataType)).alias(f) for f in fields]
+        keys = lines.select(*KEYS).distinct()
+        found = records.select(F.col("input").alias("_i"), F.col("key").alias("_k")).distinct()
+        none = keys.join(found, F.col("input").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")), "left_anti")
+        nowhere = F.lit(None).cast("bigint")
+        return records.unionByName(none.select(*KEYS, F.lit(-1).cast("bigint").alias("rec"), F.lit(-1).cast("bigint").alias("at"), nowhere.alias("start_line"), nowhere.alias("end_line"), *values))
 
     def _recorded_before(self, df: DataFrame, recorded: list[str], g: GroupPlan, lines: DataFrame) -> tuple[DataFrame, list[str]]:
         """Variables that earlier groups recorded and this one names: their last value in each input."""
@@ -454,23 +495,40 @@ class Plan:
 
     # Results ------------------------------------------------------------
 
-    def inputs(self, spark: SparkSession, passed: DataFrame | dict[str, str] | None = None) -> DataFrame:
-        """(input, text): texts of the template's inputs, and those passed, which win over the same name."""
-        own = {n.attrs.get("name", "Default_Input"): n.text.strip("\n") for n in self.template.inputs if n.attrs.get("load", "text") == "text" and n.text.strip()}
-        if isinstance(passed, DataFrame):
-            if not own:
-                return passed
-            mine = spark.createDataFrame(list(own.items()), "input string, text string")
-            return passed.select("input", "text").unionByName(mine.join(passed.select("input"), "input", "left_anti"))
-        texts = {**own, **(passed or {})}
-        return spark.createDataFrame(list(texts.items()) or [], "input string, text string")
+    def inputs(self, spark: SparkSession, passed: DataFrame | dict[str, str] | None = None, fetch: bool = False) -> DataFrame:
+        """(input, text, tag): what the template's <input> tags load, and the texts passed, which win over the same name.
 
-    def _prepared(self, inputs: DataFrame, g: GroupPlan) -> DataFrame:
-        from ..functions.inputs import apply_inputs
+        A tag's `load` is text (its own content), file or directory (`url`:
+        paths, comma-separated; `extensions` without dots and `filters`,
+        expressions one of which the path must contain), url (only with
+        `fetch`) or database (`url`: its address, `query`, `format`: csv or
+        json). A file's input is its path, or the tag's name for a tag of one
+        file. `tag` is the number of the tag; null for texts passed.
+        """
+        out: DataFrame | None = None
+        for i, node in enumerate(self.template.inputs):
+            df = load_input(spark, node.attrs, node.text, fetch)
+            if df is not None:
+                df = df.withColumn("tag", F.lit(i))
+                out = df if out is None else out.unionByName(df)
+        if not isinstance(passed, DataFrame):
+            passed = spark.createDataFrame(list((passed or {}).items()), "input string, text string")
+        passed = passed.select("input", "text", F.lit(None).cast("int").alias("tag"))
+        return passed if out is None else passed.unionByName(out.join(passed.select("input").distinct(), "input", "left_anti"))
 
-        df = apply_inputs(self, inputs.select("input", "text"))
+    def _prepared(self, inputs: DataFrame, g: GroupPlan) -> DataFrame:
+        from ..functions.inputs import apply_inputs, of_tag
+
+        df = inputs if "tag" in inputs.columns else inputs.withColumn("tag", F.lit(None).cast("int"))
+        for i, node in enumerate(self.template.inputs):
+            groups = [x.strip() for x in node.attrs.get("groups", "all").split(",")]
+            if not {"all", g.name, g.name.replace("*", "")} & set(groups):
+                df = df.where(~of_tag(i, node))
+        df = apply_inputs(self, df.select("input", "text", "tag"))
         if "input" in g.group.attrs:
-            df = df.where(F.col("input").isin(*[x.strip() for x in g.group.attrs["input"].split(",")]))
+            wanted = [x.strip() for x in g.group.attrs["input"].split(",")]
+            tags = [i for i, node in enumerate(self.template.inputs) if node.attrs.get("name") in wanted]
+            df = df.where(F.col("input").isin(*wanted) | F.coalesce(F.col("tag").isin(*tags), F.lit(False)))
         return to_lines(df)
 
     def group_records(self, inputs: DataFrame, g: GroupPlan) -> tuple[DataFrame, list[str]]:

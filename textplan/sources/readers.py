@@ -52,6 +52,43 @@ def read_query(spark: SparkSession, url: str, query: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def read_database(spark: SparkSession, url: str, query: str, kind: str = "csv", **options: str) -> DataFrame:
+    """(input, text): a query's result as one text, a line of CSV or JSON for each row, in the order of the lines."""
+    return as_one_text(read_query(spark, url, query, **options), url, kind)
+
+
+def as_one_text(df: DataFrame, name: str, kind: str = "csv") -> DataFrame:
+    """Rows as lines of one input. For results of a size to be one text."""
+    lines = as_text(df, kind).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    return lines.select(F.lit(name).alias("input"), "text")
+
+
+def load_input(spark: SparkSession, attrs: dict[str, str], text: str, fetch: bool = False) -> DataFrame | None:
+    """(input, text) of an <input> tag; None for one without text or address."""
+    kind, name = attrs.get("load", "text"), attrs.get("name")
+    address = [x.strip() for x in attrs.get("url", "").split(",") if x.strip()]
+    if kind == "text":
+        return spark.createDataFrame([(name or "Default_Input", text.strip("\n"))], "input string, text string") if text.strip() else None
+    if kind in ("file", "directory", "url", "database") and not address:
+        raise ValueError(f"<input load={kind!r}> has no url")
+    if kind == "url":
+        return read_urls(spark.createDataFrame([(a,) for a in address], "url string"), allow=fetch)
+    if kind == "database":
+        options = {k: v for k, v in attrs.items() if k in ("driver", "user", "password")}
+        found = read_database(spark, address[0], attrs["query"], attrs.get("format", "csv"), **options)
+        return found.withColumn("input", F.lit(name)) if name else found
+    if kind not in ("file", "directory"):
+        raise ValueError(f"no such way to load an input: {kind}")
+    listed = lambda k: [x.strip() for x in attrs.get(k, "").split(",") if x.strip()]
+    out: DataFrame | None = None
+    for path in address:
+        found = read_texts(spark, path, listed("extensions") if kind == "directory" else None)
+        out = found if out is None else out.unionByName(found)
+    if filters := listed("filters"):
+        out = out.where(F.greatest(F.lit(False), *[F.col("input").rlike(f) for f in filters]))
+    return out.withColumn("input", F.lit(name)) if name and kind == "file" and len(address) == 1 else out
+
+
 def as_text(df: DataFrame, kind: str = "csv") -> DataFrame:
     """Rows as lines of text, as a query's result is parsed."""
     return df.select(F.to_csv(F.struct("*")).alias("line") if kind == "csv" else F.to_json(F.struct("*")).alias("line"))
