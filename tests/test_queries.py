@@ -1,7 +1,8 @@
 import pytest
 
 from tests.oracle import DATA, compare
-from textplan.queries import QUERIES, SQL
+from textplan import io_queries  # noqa: F401  registers its queries
+from textplan.registry import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

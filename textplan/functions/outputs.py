@@ -138,7 +138,7 @@ def graph(data: Any, source: str = "source", target: str = "target") -> tuple[li
     """Nodes and links of records that name two ends."""
     head, *rows = table_rows(data)
     records = [dict(zip(head, r, strict=True)) for r in rows]
-    links = [r for r in records if r.get(source) and r.get(target)]
+    links = [r for r in records if r.get(source) not in (None, "") and r.get(target) not in (None, "")]
     nodes = sorted({str(r[e]) for r in links for e in (source, target)})
     return [{"id": n} for n in nodes], [{"source": str(r[source]), "target": str(r[target])} for r in links]
 

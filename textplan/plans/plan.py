@@ -246,6 +246,11 @@ class Plan:
                 out = f(v, args, kwargs)
                 if isinstance(out, Column):
                     out = v.to(out)
+                if c.name == "raise":  # only where a value gets past the conditions before it
+                    reached = v.text.isNotNull()
+                    for x in conditions:
+                        reached = reached & x
+                    out = v.to(F.when(reached, out.col), "string")
                 if isinstance(out, Condition):
                     conditions.append(F.coalesce(out.col, F.lit(False)))
                 else:

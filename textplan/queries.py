@@ -7,7 +7,6 @@ expressions are SQL that both sides understand.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,34 +15,10 @@ from pyspark.sql import functions as F
 from .functions import inputs as input_functions
 from .functions import outputs as output_functions
 from .plans.plan import LITERAL_ROWS, compile_template
+from .registry import QUERIES, SQL, query, spread, table
 from .sources.joins import as_of, lookup_join, search_join
 from .sources.readers import as_text, lookup_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer files than cores is dealt out before its text is parsed; a larger one stays as it is, without a shuffle."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def query(name: str, sql: str | None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
 # Whole templates ---------------------------------------------------------
 
 LI_FLAT = '<group name="lines">\norder {{ orderkey | to_int }} part {{ partkey | to_int }} qty {{ qty | to_int }} flag {{ flag }}\n</group>'
@@ -233,7 +208,7 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lookups, inputs, outputs -------------------------------------------------
 
-_CUSTOMER = "customer {{ custkey | to_int }} "
+CUSTOMER = "customer {{ custkey | to_int }} "
 
 
 def customer_lines(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
@@ -249,13 +224,13 @@ def nations(spark: SparkSession, sf_dir: str) -> dict[str, Any]:
 
 @query("lookup_rows", "SELECT c_custkey AS custkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = compile_template(f'<group name="c">\n{_CUSTOMER}{{{{ n | lookup("nation", add_field="row") }}}}\n</group>', lookups={"nation": nations(spark, sf_dir)})
+    p = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ n | lookup("nation", add_field="row") }}}}\n</group>', lookups={"nation": nations(spark, sf_dir)})
     return p.records(customer_lines(spark, sf_dir, "cast(c_nationkey as string)")).select("custkey", "row.name", "row.region")
 
 
 @query("lookup_values", "SELECT c_custkey AS custkey, n_name AS n FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def lookup_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = compile_template(f'<group name="c">\n{_CUSTOMER}{{{{ n | lookup("nation") }}}}\n</group>', lookups={"nation": {k: r["name"] for k, r in nations(spark, sf_dir).items()}})
+    p = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ n | lookup("nation") }}}}\n</group>', lookups={"nation": {k: r["name"] for k, r in nations(spark, sf_dir).items()}})
     return p.records(customer_lines(spark, sf_dir, "cast(c_nationkey as string)")).select("custkey", "n")
 
 
@@ -279,13 +254,13 @@ _SEGMENTS = {"AUTO*": "car", "BUILD": "house", "MACH*Y": "tool"}
 
 @query("reverse_lookup", "SELECT c_custkey AS custkey, CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 'AUTO*' WHEN c_mktsegment LIKE '%BUILD%' THEN 'BUILD' WHEN c_mktsegment LIKE 'MACH%Y' THEN 'MACH*Y' ELSE c_mktsegment END AS s FROM customer")
 def reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = compile_template(f'<group name="c">\n{_CUSTOMER}{{{{ s | rlookup("segments") }}}}\n</group>', lookups={"segments": _SEGMENTS})
+    p = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ s | rlookup("segments") }}}}\n</group>', lookups={"segments": _SEGMENTS})
     return p.records(customer_lines(spark, sf_dir, "c_mktsegment")).select("custkey", "s")
 
 
 @query("reverse_lookup_join", "SELECT c_custkey AS custkey, CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 'car' WHEN c_mktsegment LIKE '%BUILD%' THEN 'house' WHEN c_mktsegment LIKE 'MACH%Y' THEN 'tool' END AS kind FROM customer")
 def reverse_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = compile_template(f'<group name="c">\n{_CUSTOMER}{{{{ s }}}}\n</group>').records(customer_lines(spark, sf_dir, "c_mktsegment"))
+    r = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ s }}}}\n</group>').records(customer_lines(spark, sf_dir, "c_mktsegment"))
     keys = spark.createDataFrame(list(_SEGMENTS.items()), "key string, value string")
     return search_join(r, "s", keys, "kind").select("custkey", "kind")
 
@@ -293,20 +268,28 @@ def reverse_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pattern_lookup", "SELECT c_custkey AS custkey, (SELECT min(n_name) FROM nation WHERE n_name LIKE '%' || CAST(c_nationkey AS VARCHAR) AND n_name IS NOT NULL) AS n FROM customer WHERE EXISTS (SELECT 1 FROM nation WHERE n_name LIKE '%' || CAST(c_nationkey AS VARCHAR))")
 def pattern_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = {r["name"]: r["name"] for r in nations(spark, sf_dir).values()}
-    p = compile_template(f'<group name="c">\n{_CUSTOMER}{{{{ n | prepend("*") | gpvlookup("names") }}}}\n</group>', lookups={"names": by_name})
+    p = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ n | prepend("*") | gpvlookup("names") }}}}\n</group>', lookups={"names": by_name})
     return p.records(customer_lines(spark, sf_dir, "cast(c_nationkey as string)")).where("not startswith(n, '*')").select("custkey", "n")
 
 
-@query("recorded_values", "SELECT event_id, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events WHERE event_id < 1000")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for each event, one text for each user: every tenth event gives a mark first."""
+    e = table(spark, sf_dir, "events")
+    line = F.concat_ws("\n", F.when(F.col("event_id") % 10 == 0, F.format_string("mark %d", "event_id")), F.format_string("event %d", "event_id"))
+    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("s")))), lambda x: x["s"]), "\n").alias("text")).select(F.col("user_id").cast("string").alias("input"), "text")
+
+
+@query("recorded_values", "SELECT event_id, coalesce(CAST(max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS VARCHAR), 'none') AS mark FROM events")
 def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What record() leaves for later lines: an as-of value by a window."""
-    e = table(spark, sf_dir, "events").where("event_id < 1000").select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
-    return as_of(e, "event_id", "mark").select("event_id", "mark")
+    """What record() leaves for later lines of an input, taken up by set()."""
+    t = '<group name="e*" method="table" functions="set(\'last\', \'mark\', default=\'none\')">\nmark {{ m | record("last") | void }}\nevent {{ event_id | to_int }}\n</group>'
+    r = compile_template(t).records(event_lines(spark, sf_dir)).where("event_id is not null")
+    return r.select("event_id", "mark")
 
 
 @query("recorded_values_all", "SELECT event_id, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events")
 def recorded_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all events."""
+    """An as-of value over one input of all events, in chunks."""
     e = table(spark, sf_dir, "events").select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
     return as_of(e, "event_id", "mark").select("event_id", "mark")
 
