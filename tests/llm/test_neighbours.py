@@ -32,7 +32,7 @@ def data(n=400):
     return rows
 
 
-@pytest.mark.parametrize("part", [4096, 20])
+@pytest.mark.parametrize("part", [4096, 20, 4])
 def test_exact_when_all_leaves_are_probed(spark, part, monkeypatch):
     monkeypatch.setattr(neighbours, "PART", part)
     monkeypatch.setattr(neighbours, "LEAF", 10)

@@ -11,13 +11,15 @@ all trees by their margin to the query. The best branch is followed down to
 its leaf, the other sides are queued, until SHARE of the leaves are found, or
 as many as FLOOR vectors fill, if that is more: a table of up to FLOOR vectors
 is searched whole. Queries
-meet the vectors of their leaves by a join on (tree, leaf, part), are scored
-exactly in double precision, and the best of each leaf are merged.
+meet the vectors of their leaves by a join on (tree, leaf, part, block), are
+scored exactly in double precision, and the best of each leaf are merged.
 
 Scale: equal vectors are one point with their `k + 1` least ids (no other can
 be in a result), chosen with a partial limit before any shuffle, so a vector
-that a third of all rows hold is one point, indexed and searched once. Leaves
-are dealt in parts of bounded size. The forest is of the size of its sample,
+that a third of all rows hold is one point, indexed and searched once. A leaf's
+vectors are dealt in parts and its queries in blocks, both of about PART rows,
+so a task holds one part and one block; a part is sent once for each block and
+a block once for each part, one row for PART comparisons. The forest is of the size of its sample,
 which grows with the table up to SAMPLE, and travels as a broadcast of at most
 that size. Queries are every row whose id is divisible by QUERY_STEP.
 
@@ -48,8 +50,8 @@ LEAVES, SHARE = 64, 0.3
 #: Vectors whose number of leaves a query probes at least: a small table has few leaves, and a share of them finds too little.
 FLOOR = 3000
 SAMPLE = 65_536
-#: Vectors of a leaf that a task scores at a time.
-PART = 4096
+#: Vectors of a leaf, and queries, that a task scores at a time.
+PART = 16_384
 
 
 class Tree:
@@ -129,8 +131,8 @@ def _index(forest):
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f: Forest = forest.value
         for t in batches:
-            for i in range(0, len(t), PART):
-                part = t.iloc[i : i + PART]
+            for i in range(0, len(t), 4096):
+                part = t.iloc[i : i + 4096]
                 x = f.lift(_stack(part["v"]))
                 yield pd.concat([pd.DataFrame({"tree": np.int32(n), "leaf": tree.leaf_of(x).astype(np.int32), "point": part["point"].to_numpy(), "least": part["least"].to_numpy(), "v": part["v"].to_numpy()}) for n, tree in enumerate(f.trees)], ignore_index=True)
 
@@ -213,12 +215,14 @@ def nearest(vectors: DataFrame, k: int = 20, step: int = 20, share: float = SHAR
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = spark.sparkContext.broadcast(fitted)
     probes = max(1, math.ceil(max(share, min(1.0, FLOOR / n)) * sum(t.leaves for t in fitted.trees)))
-    parts = max(1, -(-n // (max(1, min(t.leaves for t in fitted.trees)) * PART)))
+    leaves = sum(t.leaves for t in fitted.trees)
+    parts = max(1, -(-n * len(fitted.trees) // (leaves * PART)))
+    blocks = max(1, -(-queries.count() * probes // (leaves * PART)))
 
     indexed = points.select("point", "least", "v").mapInPandas(_index(forest), "tree int, leaf int, point long, least long, v array<double>")
-    indexed = indexed.withColumn("part", F.pmod("point", F.lit(parts)).cast("int"))
-    probed = queries.repartition(n_parts, "point").mapInPandas(_probe(forest, probes), "tree int, leaf int, query long, q array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    leaf = ["tree", "leaf", "part"]
+    indexed = indexed.withColumn("part", F.pmod("point", F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    probed = queries.repartition(n_parts, "point").mapInPandas(_probe(forest, probes), "tree int, leaf int, query long, q array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    leaf = ["tree", "leaf", "part", "block"]
     scored = indexed.groupBy(*leaf).cogroup(probed.groupBy(*leaf)).applyInPandas(_score(k + 1), "query long, point long, score double")
     found = scored.distinct().join(points.select("point", "least", "ids"), "point")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
