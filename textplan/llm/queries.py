@@ -24,11 +24,43 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_array_dedup(docs, width=200).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+#: Bytes as pairs of hexadecimal digits; a byte is removed if a window that starts at most 199 bytes before it occurs twice.
+OP2_SQL = """
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, upper(hex(encode(coalesce(text, '')))) AS h FROM documents),
+windows AS (SELECT r, i, substr(h, 2 * i + 1, 400) AS w FROM (SELECT r, h, unnest(range(0, strlen(h) // 2 - 199)) AS i FROM texts WHERE strlen(h) >= 400)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT r, i FROM windows SEMI JOIN often USING (w)),
+ends AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM starts),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, count(*) FILTER (before IS NULL OR i > before + 200) OVER (PARTITION BY r ORDER BY i) AS n FROM ends) GROUP BY r, n),
+gaps AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM spans),
+cut AS (
+  SELECT texts.r, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN last THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS kept, sum(z - a) AS n_removed, count(*) AS n_spans
+  FROM texts JOIN gaps ON gaps.r = texts.r GROUP BY 1)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM texts LEFT JOIN cut ON cut.r = texts.r
+"""
+
+
 def op3_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.lempel_ziv_dedup(docs, width=35).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+OP3_SQL = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+often AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT r, i FROM windows SEMI JOIN often USING (g)),
+words AS (SELECT r, doc_id, i, w[i] AS word FROM (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+near AS (SELECT words.r, words.i, word, max(s.i) OVER (PARTITION BY words.r ORDER BY words.i) AS latest FROM words LEFT JOIN starts s ON s.r = words.r AND s.i = words.i),
+counts AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (latest >= i - 34) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (latest IS NULL OR latest < i - 34) AS kept FROM near GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN counts ON counts.r = texts.r
+"""
+
+
 def op4_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -149,6 +181,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op3_lempel_ziv_dedup": OP3_SQL,
     "op5_fm_index_decontamination": OP5_SQL,
     "op9_url_range_join": OP9_SQL,
     "op10_b_bit_minhash": OP10_SQL,
