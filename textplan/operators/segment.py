@@ -12,7 +12,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -183,46 +185,67 @@ class Fold:
 
 
 def _folded(matches: DataFrame, roles: Roles) -> DataFrame:
+    """Batches of sorted matches through the fold; only places, patterns and (where start patterns collect) values are looked at row by row."""
     names = [n for n in matches.columns if n not in (*KEYS, "line_no", "p")]
-    plain = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names if not n.startswith("_j:")])) if names else F.lit("{}")
-    collects = F.lit(False)
-    for n in names:
-        if n.startswith("_j:"):
+    joined = [n for n in names if n.startswith("_j:")]
+    rows = matches.withColumn("_key", F.xxhash64("key"))
+    extra = ["_key"]
+    if joined:  # whether a start goes on with the open record depends on its values
+        collects = F.lit(False)
+        for n in joined:
             collects = collects | F.col(f"`{n}`").isNotNull()
-    rows = matches.withColumn("_plain", plain).withColumn("_collects", collects)
+        plain = [n for n in names if n not in joined]
+        rows = rows.withColumn("_plain", F.to_json(F.struct(*[F.col(f"`{n}`") for n in plain])) if plain else F.lit("{}")).withColumn("_collects", collects)
+        extra += ["_plain", "_collects"]
     rows = rows.repartition("input", "key").sortWithinPartitions("input", "key", "line_no", "p")
     special = roles.ends | roles.markers
-    schema = StructType([*rows.drop("_plain", "_collects").schema.fields, *StructType.fromDDL("rec bigint, end_line bigint").fields])
+    schema = StructType([*rows.drop(*extra).schema.fields, *StructType.fromDDL("rec bigint, end_line bigint").fields])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, who, rest = Fold(roles), None, None
 
         def numbered(t: pa.Table) -> list[pa.RecordBatch]:
             nonlocal fold, who
-            ids = list(zip(t["input"].to_pylist(), map(tuple, t["key"].to_pylist()), t["line_no"].to_pylist(), strict=True))
-            ps, plain, collects = t["p"].to_pylist(), t["_plain"].to_pylist(), t["_collects"].to_pylist()
+            n = t.num_rows
+            t = t.combine_chunks()
+            lines, ps = t["line_no"].to_numpy(), t["p"].to_numpy()
+            new_input = np.zeros(n, dtype=bool)  # a row of another input (or parent's record) than the one before
+            if n > 1:
+                name, key = t["input"].combine_chunks(), t["_key"].to_numpy()
+                new_input[1:] = pc.not_equal(name[1:], name[:-1]).fill_null(True).to_numpy(zero_copy_only=False) | (key[1:] != key[:-1])
+            if n:
+                first = (t["input"][0].as_py(), t["_key"][0].as_py())
+                new_input[0] = first != who
+                who = (t["input"][-1].as_py(), t["_key"][-1].as_py())
+            new_line = new_input.copy()
+            new_line[1:] |= lines[1:] != lines[:-1]
+            several = np.flatnonzero(~np.r_[new_line[1:], [True]])  # rows with another match of their line behind them
+            ahead: dict[int, list[tuple[int, bool]]] = {}
+            for j in reversed(several.tolist()):
+                q = int(ps[j + 1])
+                ahead[j] = [(q, q in special), *ahead.get(j + 1, ())]
+            none: list[tuple[int, bool]] = []
+            plain = [json.loads(x) for x in t["_plain"].to_pylist()] if joined else None
+            collects = t["_collects"].to_pylist() if joined else None
             rec: list[int | None] = []
-            i = 0
-            while i < len(ids):
-                end = i
-                while end < len(ids) and ids[end] == ids[i]:
-                    end += 1
-                if ids[i][:2] != who:
-                    fold, who = Fold(roles), ids[i][:2]
-                for j in range(i, end):  # a line's matches see those behind them
-                    rec.append(fold.step(ps[j], ids[j][2], json.loads(plain[j]), bool(collects[j]), [(q, q in special) for q in ps[j + 1 : end]]))
-                i = end
-            ended = [line if p in roles.ends else None for p, (_, _, line) in zip(ps, ids, strict=True)]
-            out = t.drop_columns(["_plain", "_collects"]).append_column("rec", pa.array(rec, pa.int64())).append_column("end_line", pa.array(ended, pa.int64()))
-            return out.filter(pa.array([r is not None for r in rec], pa.bool_())).combine_chunks().to_batches()
+            for j, (p, line, new) in enumerate(zip(ps.tolist(), lines.tolist(), new_input.tolist(), strict=True)):
+                if new:
+                    fold = Fold(roles)
+                rec.append(fold.step(p, line, plain[j] if joined else {}, bool(collects[j]) if joined else False, ahead.get(j, none)))
+            rec_ = pa.array(rec, pa.int64())
+            ended = pa.array(lines, mask=~np.isin(ps, list(roles.ends)), type=pa.int64())
+            out = t.drop_columns(extra).append_column("rec", rec_).append_column("end_line", ended)
+            return out.filter(pc.is_valid(rec_)).combine_chunks().to_batches()
 
         for b in batches:
             t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
-            line = t["line_no"].to_pylist()
-            # The last line may go on in the next batch.
-            cut = len(line)
-            while cut and line[cut - 1] == line[-1]:
-                cut -= 1
+            if not t.num_rows:
+                continue
+            # The last line of the last input may go on in the next batch.
+            line, key = t["line_no"].to_numpy(), t["_key"].to_numpy()
+            other = pc.not_equal(t["input"], t["input"][-1]).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False)
+            differs = np.flatnonzero((line != line[-1]) | (key != key[-1]) | other)
+            cut = int(differs[-1]) + 1 if len(differs) else 0
             yield from numbered(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None:

@@ -7,6 +7,7 @@ expressions are SQL that both sides understand.
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,26 @@ from .plans.plan import LITERAL_ROWS, compile_template
 from .registry import QUERIES, SQL, query, spread, table
 from .sources.joins import as_of, lookup_join, search_join
 from .sources.readers import as_text, lookup_table
+from .sources.scratch import shared_dir
+from .streaming.stream import stream_frame
 
 # Whole templates ---------------------------------------------------------
 
 LI_FLAT = '<group name="lines">\norder {{ orderkey | to_int }} part {{ partkey | to_int }} qty {{ qty | to_int }} flag {{ flag }}\n</group>'
 
 
+def number(name: str):
+    return F.col(name).cast("bigint").cast("string")
+
+
+def lineitem_line():
+    return F.concat(F.lit("order "), number("l_orderkey"), F.lit(" part "), number("l_partkey"), F.lit(" qty "), number("l_quantity"), F.lit(" flag "), "l_returnflag")
+
+
 def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line of text for each line item."""
     t = spread(table(spark, sf_dir, "lineitem"))
-    return t.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), F.format_string("order %d part %d qty %d flag %s", "l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint"), "l_returnflag").alias("text"))
+    return t.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), lineitem_line().alias("text"))
 
 
 @query("flat_records", "SELECT l_returnflag AS flag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY 1")
@@ -60,8 +71,8 @@ def default_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their lines, one text a customer."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.format_string(" line %d part %d", x["l_linenumber"], x["l_partkey"])), "\n").alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.concat_ws("\n", F.format_string("order %d status %s", "o_orderkey", "o_orderstatus"), "lines").alias("s"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit(" line "), x["l_linenumber"].cast("string"), F.lit(" part "), x["l_partkey"].cast("string"))), "\n").alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.concat_ws("\n", F.concat(F.lit("order "), number("o_orderkey"), F.lit(" status "), "o_orderstatus"), "lines").alias("s"))
     return orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "s"))), lambda x: x["s"]), "\n").alias("text")).select(F.col("o_custkey").cast("string").alias("input"), "text")
 
 
@@ -188,22 +199,38 @@ def lineage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("input").cast("bigint").alias("custkey"), F.col("spans")["n"]["start"].alias("start"), F.col("spans")["n"]["stop"].alias("stop"))
 
 
+def as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream, dealt out like a batch; a stream reads folders, so the file is picked by its name."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parqu*").repartition(spark.sparkContext.defaultParallelism)
+
+
+def streamed(df: DataFrame, name: str, **trigger) -> DataFrame:
+    """What a stream writes to files until its source is read, read back. State with a timeout takes `once`, as it never runs out of batches."""
+    path = f"{shared_dir(df.sparkSession)}/textplan/{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(**trigger or {"availableNow": True}).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("stream_parity", "SELECT l_orderkey AS orderkey, l_partkey AS partkey, l_returnflag AS flag FROM lineitem")
 def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat template over a file stream, read once into a table in memory."""
-    import uuid
-
-    from .streaming.stream import stream_records
-
-    path = f"{sf_dir}/lineitem.parquet"
-    schema = spark.read.parquet(path).schema
-    # A stream reads folders, so the file is picked by its name.
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/lineitem.parqu*")
-    lines = source.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), F.lit(0).alias("line_no"), F.format_string("order %d part %d qty %d flag %s", "l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint"), "l_returnflag").alias("line"))
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream_records(compile_template(LI_FLAT), lines).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.from_json("record", "orderkey bigint, partkey bigint, flag string").alias("r")).select("r.*")
+    """The flat template over a file stream, written to files."""
+    lines = as_stream(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), F.lit(0).alias("line_no"), lineitem_line().alias("line"))
+    return streamed(stream_frame(compile_template(LI_FLAT), lines), "stream-parity").select("orderkey", "partkey", "flag")
+
+
+@query("stream_stanzas", "SELECT c_custkey AS custkey, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_custkey % 3 = 0")
+def stream_stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several lines from a stream: state holds the open record, then group functions filter and convert.
+
+    Each stanza is followed by the start of one without a segment, so that what stays open in state is nothing that counts.
+    """
+    c = as_stream(spark, sf_dir, "customer").withColumn("input", F.col("c_nationkey").cast("string"))
+    stanza = F.array(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.concat(F.lit(" nation "), F.col("c_nationkey").cast("string")), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" segment "), "c_mktsegment")), F.lit("!"), F.lit("customer 0"))
+    lines = c.select("input", F.posexplode(stanza).alias("n", "line"), "c_custkey").where("line is not null").select("input", (F.col("c_custkey") * 5 + F.col("n")).alias("line_no"), "line")
+    t = '<group name="c*" contains="segment" functions="to_int(\'nation\')">\ncustomer {{ custkey | _start_ | to_int }}\n nation {{ nation }}\n segment {{ segment | ORPHRASE }}\n! {{ _end_ }}\n</group>'
+    return streamed(stream_frame(compile_template(t), lines, timeout="1 hour"), "stream-stanzas", once=True).select("custkey", "segment", "nation")
 
 
 # Lookups, inputs, outputs -------------------------------------------------

@@ -42,23 +42,40 @@ def parse_stream(plan: Plan, inputs: DataFrame, each: Callable[[dict[str, Any],
 
 def stream_records(plan: Plan, lines: DataFrame, timeout: str = "1 minute") -> DataFrame:
     """(input, at, record): records of a streaming DataFrame (input string, line_no bigint, line string), as JSON."""
-    if why := plan.why_not_streamable():
-        raise NotStreamable(why)
-    lines = lines.select("input", F.expr("cast(array() as array<bigint>)").alias("key"), F.col("line_no").cast("bigint").alias("line_no"), F.regexp_replace("line", r"[\r \t]+$", "").alias("line"))
     out: DataFrame | None = None
-    for g in plan.groups:
-        part = _stateless(plan, lines, g) if g.roles.one_line else _stateful(plan, lines, g, timeout)
+    for g in _streamable(plan):
+        df, fields = _group_stream(plan, lines, g, timeout)
+        part = df.select("input", "at", F.to_json(F.struct(*[F.col(f"`{f}`") for f in fields])).alias("record"))
         out = part if out is None else out.unionByName(part)
     assert out is not None
     return out
 
 
-def _stateless(plan: Plan, lines: DataFrame, g: GroupPlan) -> DataFrame:
-    df, fields = plan._records(lines, g)
-    return df.select("input", "at", F.to_json(F.struct(*[F.col(f"`{f}`") for f in fields])).alias("record"))
+def stream_frame(plan: Plan, lines: DataFrame, path: str | None = None, timeout: str = "1 minute") -> DataFrame:
+    """Typed records of the groups with this name (or of the only one): input, at and the fields, as `Plan.records` gives them for a batch."""
+    out: DataFrame | None = None
+    for g in _streamable(plan):
+        if path is None or g.name.replace("*", "") == path:
+            df, fields = _group_stream(plan, lines, g, timeout)
+            df = df.select("input", "at", *[F.col(f"`{f}`") for f in fields])
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no group named {path}")
+    return out
+
+
+def _streamable(plan: Plan) -> list[GroupPlan]:
+    if why := plan.why_not_streamable():
+        raise NotStreamable(why)
+    return plan.groups
+
+
+def _group_stream(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> tuple[DataFrame, list[str]]:
+    lines = lines.select("input", F.expr("cast(array() as array<bigint>)").alias("key"), F.col("line_no").cast("bigint").alias("line_no"), F.rtrim("line", F.lit("\r \t")).alias("line"))
+    return plan._records(lines, g) if g.roles.one_line else _stateful(plan, lines, g, timeout)
 
 
-def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> DataFrame:
+def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> tuple[DataFrame, list[str]]:
     matches, fields, recorded = plan._matches(lines, g)
     earlier = {str(c.args[-1]).strip("'\"") for e in plan.groups[: plan.groups.index(g)] for c in e.all_calls() if c.name == "record"}
     if recorded or any(n in text for n in earlier for text in g.group.attrs.values()):
@@ -107,5 +124,4 @@ def _stateful(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> DataF
     folded = rows.groupBy("input").applyInPandasWithState(go, "input string, at bigint, start_line bigint, end_line bigint, record string", "saved string", "append", "ProcessingTimeTimeout")
     # The group's functions and defaults, as in a batch; they also drop records without values.
     typed = folded.withColumn("_v", F.from_json("record", types)).select("input", F.expr("cast(array() as array<bigint>)").alias("key"), F.col("at").alias("rec"), "at", "start_line", "end_line", *[F.col("_v")[f].alias(f) for f in fields])
-    df, names = plan._finish(typed, fields, [], g, lines)
-    return df.select("input", "at", F.to_json(F.struct(*[F.col(f"`{f}`") for f in names])).alias("record"))
+    return plan._finish(typed, fields, [], g, lines)
