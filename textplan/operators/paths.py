@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,20 @@ from ..functions.inputs import hostname
 SEP = "\x1f"
 
 
+class Raw(str):
+    """A record that stays the JSON that it is."""
+
+
+def dump(x: Any) -> str:
+    if isinstance(x, Raw):
+        return x
+    if isinstance(x, dict):
+        return "{" + ", ".join(f"{json.dumps(k)}: {dump(x[k])}" for k in sorted(x)) + "}"
+    if isinstance(x, list):
+        return "[" + ", ".join(map(dump, x)) + "]"
+    return json.dumps(x)
+
+
 def store(tree: dict[str, Any], segments: list[str], records: list[Any]) -> None:
     """Put a group's records at a path. A segment with * is a list, with ** a map; one record without either is a map."""
     here: Any = tree
@@ -38,7 +52,7 @@ def store(tree: dict[str, Any], segments: list[str], records: list[Any]) -> None
         if stars == 2:
             new = old if isinstance(old, dict) else {}
             for r in records:
-                new.update(r)
+                new.update(json.loads(r) if isinstance(r, Raw) else r)
             here[name] = new
         elif stars == 1:
             here[name] = [*(old if isinstance(old, list) else [] if old is None else [old]), *records]
@@ -77,54 +91,63 @@ def collapse(x: Any) -> Any:
 
 
 def results(plan, inputs: DataFrame) -> DataFrame:
+    """(input, result): a tree of JSON for each input, also for those without records.
+
+    Rows of records, and one more for each input, meet by input in order of
+    group and place. A record without nested groups goes into the tree as the
+    JSON that it is.
+    """
     from ..plans.plan import resolved_path
 
-    rows: DataFrame | None = None
+    together = plan.template.attrs.get("results") == "per_template"
+    named = plan.template.named_vars
+    asks = any(v == "gethostname" for values in named.values() for v in values.values())
+    host = F.first(hostname(F.col("text"))).alias("path") if asks else F.lit(None).cast("string").alias("path")
+    none = F.lit(None).cast("string")
+    rows = inputs.groupBy("input").agg(host) if asks else inputs.select("input", host)
+    rows = rows.select("input", F.lit(-1).alias("g"), F.lit(0).cast("bigint").alias("at"), "path", none.alias("record"), F.lit(False).alias("item"), F.lit(False).alias("nested"))
     for order, g in enumerate(plan.groups):
         if g.group.attrs.get("void", "absent").lower() in ("", "true"):
             continue
         df, fields = plan.group_records(inputs, g)
         segments, used = resolved_path(g, fields, plan.variables)
-        kept = [f for f in fields if f not in used]
+        kept = sorted(f for f in fields if f not in used)
         item = "itemize" in g.group.attrs and g.group.attrs["itemize"] in fields
         record = F.to_json(F.struct(group_functions.col(g.group.attrs["itemize"]).alias("v"))) if item else F.to_json(F.struct(*[group_functions.col(f) for f in kept])) if kept else F.lit("{}")
-        part = df.select("input", F.lit(order).alias("g"), "at", F.concat_ws(SEP, *segments).alias("path"), record.alias("record"), F.lit(item).alias("item"))
-        rows = part if rows is None else rows.unionByName(part)
-    together = plan.template.attrs.get("results") == "per_template"
-    named = plan.template.named_vars
-    base = inputs.select("input").distinct()
-    asks = any(v == "gethostname" for values in named.values() for v in values.values())
-    if rows is None:
-        return base.select("input", F.lit("{}").alias("result"))
+        nested = any(df.schema[f].dataType.typeName() in ("array", "struct", "map") for f in kept)
+        rows = rows.unionByName(df.select("input", F.lit(order).alias("g"), "at", F.concat_ws(SEP, *segments).alias("path"), record.alias("record"), F.lit(item).alias("item"), F.lit(nested).alias("nested")))
 
-    def finish(who: str, host: str | None, parts: dict[tuple[int, str], list]) -> tuple[str, str]:
+    def finish(who: str | None, host: str | None, parts: dict[tuple[int, str], list]) -> tuple[str | None, str]:
         about = {p: {k: (host or False) if v == "gethostname" else v for k, v in values.items()} for p, values in named.items()}
-        return who, json.dumps(build([(path, r) for (_, path), own in parts.items() for r in own], about), sort_keys=True)
+        return who, dump(build([(path, r) for (_, path), own in parts.items() for r in own], about))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trees of inputs whose rows come one after another."""
+        begun, who, host = False, None, None
+        parts: dict[tuple[int, str], list] = {}
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Trees of inputs whose rows come one after another, in order of group and place."""
-        who, host, parts = None, None, {}
-        for t in batches:
+        def give(out: list[tuple[str | None, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["input", "result"])
+
+        for b in batches:
             out = []
-            for row in t.itertuples(index=False):
-                mine = "all" if together else row.input
-                if who is not None and mine != who:
+            for name, g, path, record, item, nested in zip(*(b[c].to_pylist() for c in ("input", "g", "path", "record", "item", "nested")), strict=True):
+                mine = "all" if together else name
+                if begun and mine != who:
                     out.append(finish(who, host, parts))
-                    parts = {}
-                who, host = mine, row.host if asks else None
-                r = json.loads(row.record)
-                path = row.path if not row.item or row.path.endswith("*") else row.path + "*"
-                parts.setdefault((row.g, path), []).append(r["v"] if row.item else collapse(r))
+                    parts, host = {}, None
+                begun, who = True, mine
+                if g < 0:
+                    host = host or path
+                elif item:
+                    parts.setdefault((g, path if path.endswith("*") else path + "*"), []).append(json.loads(record)["v"])
+                else:
+                    parts.setdefault((g, path), []).append(collapse(json.loads(record)) if nested else Raw(record))
             if out:
-                yield pd.DataFrame(out, columns=["input", "result"])
-        if who is not None:
-            yield pd.DataFrame([finish(who, host, parts)], columns=["input", "result"])
-
-    if asks:
-        rows = rows.join(inputs.groupBy("input").agg(F.first(hostname(F.col("text"))).alias("host")), "input", "left")
+                yield give(out)
+        if begun:
+            yield give([finish(who, host, parts)])
 
     if together:
-        return rows.coalesce(1).sortWithinPartitions("g", "input", "at").mapInPandas(make, "input string, result string")
-    trees = rows.repartition("input").sortWithinPartitions("input", "g", "at").mapInPandas(make, "input string, result string")
-    empty = json.dumps(build([], named), sort_keys=True)
-    return base.join(trees, "input", "left").select("input", F.coalesce("result", F.lit(empty)).alias("result"))
+        return rows.coalesce(1).sortWithinPartitions("g", "input", "at").mapInArrow(make, "input string, result string")
+    return rows.repartition("input").sortWithinPartitions("input", "g", "at").mapInArrow(make, "input string, result string")

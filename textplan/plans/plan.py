@@ -85,7 +85,15 @@ class GroupPlan:
         """Whether each record has a field for certain, as each pattern that starts one captures a text that stays one."""
         if any(k in self.group.attrs for k in ("functions", "chain", "macro", "del", "delete", "record")):
             return False
-        sure = lambda v: v.group and v.name not in (*_RESERVED, "_line_") and not v.joins and all(c.name in _NEVER_NULL for c in v.calls)
+        return self._in_each_start(lambda v: v.name not in (*_RESERVED, "_line_"))
+
+    def always_has(self, name: str) -> bool:
+        """Whether each record has a value of this field as captured."""
+        changed = any(k in self.group.attrs for k in ("functions", "chain", "macro", "del", "delete", "record"))
+        return not changed and self._in_each_start(lambda v: v.name == name)
+
+    def _in_each_start(self, wanted: Callable[[Variable], bool]) -> bool:
+        sure = lambda v: v.group and wanted(v) and not v.joins and all(c.name in _NEVER_NULL for c in v.calls)
         ps = [p for p in self.patterns if p.index in self.roles.starts]
         return bool(ps) and all(any(sure(v) for v in p.variables) for p in ps)
 
@@ -592,7 +600,8 @@ def resolved_path(g: GroupPlan, fields: list[str], variables: dict[str, Any]) ->
     for part in g.path.split("."):
         c: Column = F.lit(part)
         for n in dynamic_names(part):
-            options = [F.last(F.col(f"`{n}`").cast("string"), ignorenulls=True).over(w)] if n in fields else []
+            own = F.col(f"`{n}`").cast("string")
+            options = [own if g.always_has(n) else F.last(own, ignorenulls=True).over(w)] if n in fields else []
             options += [F.lit(str(variables[n]))] if n in variables else []
             hole = next(h for h in (f"{{{{ {n} }}}}", f"{{{{{n}}}}}") if h in part)
             c = F.replace(c, F.lit(hole), F.coalesce(*options, F.lit(hole)))
