@@ -201,12 +201,13 @@ def _dedup(docs: DataFrame, unit: Unit, resolver: Resolver, name: str, id_col: s
         texts = texts.join(again, ["id", "tx"], "left_anti").unionByName(one)
     shared = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor")
     marked = scratch.keep("marked", runs.drop("head").join(shared, "anchor", "left_semi"))
+    scratch.drop("runs")
     place = F.struct("id", "tx", "start", "stop")
     classes = scratch.keep("classes", marked.groupBy(*klass).agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(place).alias("one"), F.max(place).alias("two")))
     hot = scratch.keep("hot", classes.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"))
     places = classes.select(*klass, (F.col("copies") > 1).alias("paired"), "twice", F.explode(F.expr("if(copies > 1, array(named_struct('extra', false, 'at', one), named_struct('extra', true, 'at', two)), array(named_struct('extra', false, 'at', one)))")).alias("p")).select(*klass, "paired", "twice", "p.extra", "p.at.*")
     pulled = scratch.keep("pulled", places.join(texts, ["id", "tx"]).select(*klass, "paired", "twice", "extra", F.expr("substring(cast(text as binary), cast(start as int) + 1, cast(stop - start as int))").alias("content")))
-    scratch.drop("runs")
+    scratch.drop("classes")
 
     def resolve(contents: DataFrame) -> DataFrame:
         dealt = contents.select("deal", *klass, "twice", "extra", "content").repartition(n_parts, "deal").sortWithinPartitions("deal", *klass, "extra")
@@ -227,7 +228,7 @@ def _dedup(docs: DataFrame, unit: Unit, resolver: Resolver, name: str, id_col: s
         found = resolve(cool.unionByName(pairs)).unionByName(windows.join(agreed, ["w1", "w2"], "left_semi").select(*klass, "from", "to"))
     spans = marked.join(found, klass).select("id", "tx", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("stop"))
     spans = scratch.keep("spans", spans.groupBy("id", "tx").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    scratch.drop("marked", "classes", "pulled", "windows", "again", "hot")
+    scratch.drop("marked", "pulled", "windows", "again", "hot")
 
     carry = [f for f in docs.schema.fields if f.name not in RESULT and f.name != text_col]
     rest = docs.select(*key, F.struct(*[F.col(f"`{f.name}`") for f in carry], F.lit(0).alias("_")).alias("rest"), F.col(text_col).cast("string").alias("text"))
