@@ -479,3 +479,90 @@ def test_yang_rules(spark):
     assert plan.warnings == [] and compile_template(t).warnings and "rules" in compile_template(t).warnings[0]
     got = plan.records(spark.createDataFrame([("i", "n 1"), ("j", "n x")], "input string, text string"))
     assert sorted((r.n, r._validation_valid_) for r in got.collect()) == [("1", True), ("x", False)]
+
+
+def test_lineage_of_every_piece(spark):
+    """Spans are where Python's own matching of the line finds them."""
+    import re
+
+    t = 'a{{ x }} is  {{ y | ORPHRASE }} of {{ ignore }} {{ z | re("(1|2)+") }}\n{{ w | WORD }} end\nplain line'
+    plan = compile_template(t)
+    text = "ab is é f g of skip 1212\nabc is d of k 2\tx\nfür end  \nplain line\nnone of it here"
+    got = plan.lineage(plan.inputs(spark, {"a": text})).collect()
+    ps = plan.groups[0].patterns
+    for r in got:
+        if r.matched:
+            m = re.match(ps[r.pattern].regex.replace("(?d)", ""), r.line)
+            assert {k: (s.start, s.stop) for k, s in r.spans.items()} == {v.name: m.span(v.group) for v in ps[r.pattern].variables if v.group}
+    assert [r.matched for r in sorted(got, key=lambda r: r.line_no)] == [True, False, True, True, False]
+
+
+def test_strict_mode():
+    from textplan.pattern import PatternError
+
+    for bad in (r"(?=x)y", r"(?<!x)y", r"(a)\1", "a++"):
+        t = f'<group name="g">\nv {{{{ x | re("{bad}") }}}}\n</group>'
+        with pytest.raises(PatternError):
+            compile_template(t, strict=True)
+    assert compile_template('<group name="g">\nv {{ x | re("(?:a|b)+") }} {{ y | PHRASE }}\n</group>', strict=True)
+    assert compile_template('<group name="g">\nv {{ x | re("(?=x)x") }}\n</group>').groups
+
+
+def test_unrange_and_truncate_bounds(spark):
+    def one(calls, text):
+        plan = compile_template(f"v {{{{ x | ORPHRASE | {calls} }}}}")
+        return plan.records(plan.inputs(spark, {"a": f"v {text}"})).collect()[0].x
+
+    assert one('unrange("-", ",")', "1,3-5,1-9999999999,7") == "1,3,4,5,1-9999999999,7"
+    assert [one(f"truncate({n})", "éaß") for n in (1, 2, 3, 4, 5, 9)] == ["", "é", "éa", "éa", "éaß", "éaß"]
+
+
+def test_search_join_by_fixed_text(spark):
+    import fnmatch
+
+    from textplan.sources.joins import search_join
+
+    values = ["AUTOMOBILE", "BUILDING", "MACHINERY", "ab", "a", None, "xyz", "ABCDEF", "AUTOMOBILE"]
+    keys = ["AUTO*", "BUILD", "M*RY", "a", "?b", "nothing", "*CDE?", "z*"]
+    records = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n int, v string")
+    table = spark.createDataFrame([(k, k.lower() + "!") for k in keys], "key string, value string")
+    got = {r.n: r.hit for r in search_join(records, "v", table, "hit").collect()}
+    for i, v in enumerate(values):
+        fits = sorted(k for k in keys if v is not None and (k in v or fnmatch.fnmatchcase(v, k)))
+        assert got[i] == (fits[0].lower() + "!" if fits else None), v
+    # The other way: the field is the glob, the keys are the texts.
+    globs = spark.createDataFrame([(0, "AUT*"), (1, "*"), (2, "x?z"), (3, "q*"), (4, None)], "n int, v string")
+    texts = spark.createDataFrame([(v, v) for v in values if v], "key string, value string").distinct()
+    got = {r.n: r.hit for r in search_join(globs, "v", texts, "hit", keys_are_globs=False).collect()}
+    assert got == {0: "AUTOMOBILE", 1: "ABCDEF", 2: "xyz", 3: None, 4: None}
+
+
+def test_lookup_in_a_large_frame(spark, monkeypatch):
+    from textplan.plans import plan as plans
+    from textplan.sources.readers import lookup_table
+
+    monkeypatch.setattr(plans, "LITERAL_ROWS", 1)
+    table = lookup_table(spark.createDataFrame([("1", "one"), ("2", "two")], "k string, v string"), "k", "v")
+    plan = compile_template('<group name="g*">\nv {{ x | lookup("t") }} {{ y | lookup("t", add_field="name") }}\nw {{ z }}\n</group>', lookups={"t": table})
+    got = as_python(plan.results(plan.inputs(spark, {"a": "v 1 2\nw 3\nv 9 9"})))
+    assert got == [{"g": [{"name": "two", "x": "one", "y": "2", "z": "3"}, {"x": "9", "y": "9"}]}]
+
+
+def test_drawings_and_workbooks(tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from textplan.functions.outputs import excel, layout, n2g
+
+    data = [{"source": "a", "target": "b"}, {"source": "b", "target": "c<"}, {"source": "a", "target": None}]
+    for algo in ("", "grid", "circle", "layers"):
+        for module in ("yed", "drawio"):
+            root = ElementTree.fromstring(n2g(data, module=module, algo=algo))
+            kinds = [e.tag.split("}")[-1] for e in root.iter()]
+            assert (kinds.count("node"), kinds.count("edge")) == (3, 2) if module == "yed" else kinds.count("mxCell") == 2 + 3 + 2
+    places = layout([{"id": x} for x in "abc"], [{"source": "a", "target": "b"}, {"source": "b", "target": "c"}, {"source": "c", "target": "a"}], "layers")
+    assert len(set(places.values())) == 3
+    with zipfile.ZipFile(excel(data, str(tmp_path / "x.xlsx"))) as z:
+        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        texts = [e.text or "" for e in sheet.iter() if e.tag.endswith("}t")]
+        assert texts == ["source", "target", "a", "b", "b", "c<", "a", "None"] and len(z.namelist()) == 5

@@ -308,14 +308,19 @@ def _default(v, a, k):
     return v.to(F.coalesce(v.col, lit(x)))
 
 
+#: Numbers that one span of unrange() may become.
+MOST_NUMBERS = 100_000
+
+
 def _unrange(v, a, k):
+    """Spans of numbers written out; one of more than MOST_NUMBERS numbers stays as it is."""
     by, glue = str(k.get("rangechar", a[0] if a else "-")), str(k.get("joinchar", a[1] if len(a) > 1 else ","))
     span = rf"^\s*[0-9]+\s*{quote(by)}\s*[0-9]+\s*$"
 
     def one(x: Column) -> Column:
         ends = F.split(x, quote(by))
         lo, hi = strip(ends[0]).try_cast("bigint"), strip(ends[1]).try_cast("bigint")
-        return F.when(~x.rlike(span), F.array(x)).when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>"))
+        return F.when(~x.rlike(span) | F.coalesce(hi - lo >= MOST_NUMBERS, F.lit(True)), F.array(x)).when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>"))
 
     return v.to(F.array_join(F.flatten(F.transform(F.split(v.text, quote(glue)), one)), glue), "string")
 
@@ -343,8 +348,13 @@ def _uptimeparse(v, a, k):
 
 
 def _truncate(v, a, k):
+    """The first n bytes of the text; a character that the cut goes through is left out."""
     n = int(a[0]) if a else 0
-    return v.to(F.substring(v.text, 1, n), "string") if n > 0 else v
+    if n <= 0:
+        return v
+    cut = F.substring(v.text.cast("binary"), 1, n)
+    whole = F.rtrim(F.make_valid_utf8(cut.cast("string")), F.lit("\ufffd"))
+    return v.to(F.when(F.octet_length(v.text) <= n, v.text).when(F.is_valid_utf8(cut.cast("string")), cut.cast("string")).otherwise(whole), "string")
 
 
 IP_FACTS = "ip string, compressed string, exploded string, version int, max_prefixlen int, is_private boolean, is_loopback boolean, is_multicast boolean, is_link_local boolean, is_reserved boolean, is_unspecified boolean"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import math
 import pprint as pretty
 from typing import Any
 
@@ -114,15 +115,26 @@ def tabulate(data: Any, **options: Any) -> str:
     return "\n".join([lines[0], "  ".join("-" * w for w in width), *lines[1:]])
 
 
+#: The parts of a workbook of one sheet.
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_WORKBOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_SHEET}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
 def excel(data: Any, path: str = "output.xlsx", **options: Any) -> str:
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise FunctionError("format excel needs openpyxl") from e
-    book = openpyxl.Workbook()
-    for row in table_rows(data, **options):
-        book.active.append([str(x) for x in row])
-    book.save(path)
+    """A workbook of one sheet of texts, written to a file; the file's path."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    cells = lambda row: "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>' for x in row)
+    rows = "".join(f"<row>{cells(row)}</row>" for row in table_rows(data, **options))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, part in {**_WORKBOOK, "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_SHEET}"><sheetData>{rows}</sheetData></worksheet>'}.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + part)
     return path
 
 
@@ -149,13 +161,50 @@ def graph_frames(df: DataFrame, source: str, target: str) -> tuple[DataFrame, Da
     return links.select(F.explode(F.array("source", "target")).alias("id")).distinct(), links
 
 
-def n2g(data: Any, source: str = "source", target: str = "target") -> str:
-    """GraphML of those nodes and links."""
+def layout(nodes: list[dict], links: list[dict], algo: str = "grid") -> dict[str, tuple[int, int]]:
+    """A place for each node. grid: row by row; circle: around a point; layers: by distance from the nodes that nothing leads to."""
+    ids = [n["id"] for n in nodes]
+    if algo == "circle":
+        radius = max(100, 30 * len(ids))
+        turn = 2 * math.pi / max(len(ids), 1)
+        return {n: (round(radius + radius * math.cos(i * turn)), round(radius + radius * math.sin(i * turn))) for i, n in enumerate(ids)}
+    if algo == "layers":
+        level = dict.fromkeys(set(ids) - {e["target"] for e in links} or ids[:1], 0)
+        now = sorted(level)
+        while now:
+            now = sorted({e["target"] for e in links if e["source"] in now} - level.keys())
+            level |= dict.fromkeys(now, max(level.values()) + 1)
+        level = {n: level.get(n, 0) for n in ids}
+        seen: dict[int, int] = {}
+        out = {}
+        for n in ids:
+            seen[level[n]] = seen.get(level[n], -1) + 1
+            out[n] = (150 * seen[level[n]], 120 * level[n])
+        return out
+    if algo != "grid":
+        raise FunctionError(f"no such layout: {algo}")
+    side = max(1, math.ceil(math.sqrt(len(ids))))
+    return {n: (150 * (i % side), 120 * (i // side)) for i, n in enumerate(ids)}
+
+
+def n2g(data: Any, source: str = "source", target: str = "target", module: str = "yed", algo: str = "") -> str:
+    """A drawing of those nodes and links: GraphML, or for module drawio a diagram, with places for the nodes if `algo` asks for a layout."""
     from xml.sax.saxutils import quoteattr
 
     nodes, links = graph(data, source, target)
-    body = [f"    <node id={quoteattr(n['id'])}/>" for n in nodes] + [f"    <edge source={quoteattr(e['source'])} target={quoteattr(e['target'])}/>" for e in links]
-    return "\n".join(['<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '  <graph edgedefault="undirected">', *body, "  </graph>", "</graphml>"])
+    at = layout(nodes, links, algo) if algo else {}
+    if module.lower() in ("drawio", "draw.io"):
+        at = at or layout(nodes, links)
+        cells = ['<mxCell id="0"/>', '<mxCell id="1" parent="0"/>']
+        cells += [f'<mxCell id={quoteattr("n:" + n["id"])} value={quoteattr(n["id"])} style="rounded=1;whiteSpace=wrap;" vertex="1" parent="1"><mxGeometry x="{at[n["id"]][0]}" y="{at[n["id"]][1]}" width="120" height="60" as="geometry"/></mxCell>' for n in nodes]
+        cells += [f'<mxCell id="e:{i}" edge="1" parent="1" source={quoteattr("n:" + e["source"])} target={quoteattr("n:" + e["target"])}><mxGeometry relative="1" as="geometry"/></mxCell>' for i, e in enumerate(links)]
+        return "\n".join(['<mxfile><diagram name="Page-1"><mxGraphModel><root>', *cells, "</root></mxGraphModel></diagram></mxfile>"])
+    if module.lower() != "yed":
+        raise FunctionError(f"no such module: {module}")
+    keys = ['  <key id="x" for="node" attr.name="x" attr.type="int"/>', '  <key id="y" for="node" attr.name="y" attr.type="int"/>'] if at else []
+    place = lambda n: f'<data key="x">{at[n][0]}</data><data key="y">{at[n][1]}</data>'
+    body = [f"    <node id={quoteattr(n['id'])}>{place(n['id'])}</node>" if at else f"    <node id={quoteattr(n['id'])}/>" for n in nodes] + [f"    <edge source={quoteattr(e['source'])} target={quoteattr(e['target'])}/>" for e in links]
+    return "\n".join(['<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '  <graph edgedefault="undirected">', *body, "  </graph>", "</graphml>"])
 
 
 FORMATS = {
@@ -180,7 +229,7 @@ def apply_outputs(plan, data: list[Any]) -> Any:
         kind = node.attrs.get("format", "raw")
         if kind not in FORMATS:
             raise FunctionError(f"no such format: {kind}")
-        options: dict[str, Any] = {k: node.attrs[k] for k in ("path", "missing", "key", "sep", "quote", "source", "target", "template") if k in node.attrs and k != "path" or k == "path" and kind in ("csv", "table", "tabulate") and "path" in node.attrs}
+        options: dict[str, Any] = {k: node.attrs[k] for k in ("path", "missing", "key", "sep", "quote", "source", "target", "module", "algo", "template") if k in node.attrs and k != "path" or k == "path" and kind in ("csv", "table", "tabulate") and "path" in node.attrs}
         if "headers" in node.attrs:
             options["headers"] = [h.strip() for h in node.attrs["headers"].split(",")]
         data = FORMATS[kind](data, **options) if kind in WHOLE else [FORMATS[kind](x, **options) for x in data]

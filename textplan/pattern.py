@@ -65,6 +65,7 @@ class Pattern:
     whole_line: bool = False
     blank: bool = False
     literal: str = ""  # longest fixed text, a cheap test before the expression
+    parts: list[tuple[str, int]] = field(default_factory=list)  # the expression, piece by piece, and the group that a piece is (0: none)
 
     @property
     def groups(self) -> int:
@@ -193,25 +194,25 @@ def compile_line(line: str, index: int, variables: dict[str, Any]) -> Pattern:
     if not text_left and specs and all(n in ("_start_", "_end_") for n, _ in specs):
         p.regex, p.blank = r"(?d)^[ \t]*$", True
         return p
-    out, at, group = "", 0, 0
+    at, group = 0, 0
     for h, (name, calls) in zip(holes, specs, strict=True):
         text = line[at : h.start()]
         at = h.end()
         mark = name in INDICATORS and name != "_line_"
         sets = any(c.name == "set" for c in calls) and not any(c.name in BUILTIN or c.name == "re" for c in calls)
         if mark or sets:  # takes no text, nor the space before it
-            out += _literal(text.rstrip(" \t"), exact, exact_space)
+            p.parts.append((_literal(text.rstrip(" \t"), exact, exact_space), 0))
             if line[at : at + 1] in (" ", "\t") and text.endswith((" ", "\t")):
-                out += r"[ \t]+"
+                p.parts.append((r"[ \t]+", 0))
                 at += len(line[at:]) - len(line[at:].lstrip(" \t"))
             if sets:
                 p.variables.append(Variable(name, calls, None))
             continue
-        out += _literal(text, exact, exact_space)
+        p.parts.append((_literal(text, exact, exact_space), 0))
         if name.startswith("ignore"):
             call = parse_call(name)
             regex = fragment(call, variables) if call.args else next((BUILTIN[c.name] for c in calls if c.name in BUILTIN), r"\S+")
-            out += f"(?:{regex})"
+            p.parts.append((f"(?:{regex})", 0))
             continue
         found = [fragment(c, variables) for c in calls if c.name == "re" and c.args] + [BUILTIN[c.name] for c in calls if c.name in BUILTIN]
         if not found and name in BUILTIN:
@@ -220,10 +221,11 @@ def compile_line(line: str, index: int, variables: dict[str, Any]) -> Pattern:
             found = [".*?" if any(c.name == "default" for c in calls) else r"\S+"]
         if name == "_line_" or any(c.name == "_line_" for c in calls):
             p.whole_line = name == "_line_" and not text_left
-        out += f"({found[0] if len(found) == 1 else '|'.join(found)})"
         group += 1
+        p.parts.append(("|".join(found), group))
         p.variables.append(Variable(name, [c for c in calls if c.name not in ("re", *BUILTIN) and c.name not in INDICATORS], group))
-    out += _literal(line[at:].rstrip(), exact, exact_space)
+    p.parts.append((_literal(line[at:].rstrip(), exact, exact_space), 0))
+    out = "".join(f"({x})" if g else x for x, g in p.parts)
     p.regex = f"(?d)^{out}" + ("$" if exact_space else r"[\t ]*$")
     pieces = re.split(r"\d+|[ \t]+", HOLE.sub("\0", line).replace("\0", "  ")) if not exact else [HOLE.sub("  ", line)]
     p.literal = max((x.strip() for x in re.split(r"\s{2,}", "  ".join(pieces))), key=len, default="")
@@ -234,6 +236,12 @@ def compile_line(line: str, index: int, variables: dict[str, Any]) -> Pattern:
     return p
 
 
+def looks_around(regex: str) -> str | None:
+    """What an expression has that engines in linear time refuse: a look around, a possessive or atomic group, a reference back."""
+    found = re.search(r"\(\?(?:[=!>]|<[=!])|(?<!\\)(?:\\\\)*\\[1-9]|[*+?}]\+", regex)
+    return found[0] if found else None
+
+
 def dynamic_names(path: str) -> list[str]:
     """Variables in a group's name."""
     return [h[1].strip() for h in HOLE.finditer(path)]

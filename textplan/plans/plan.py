@@ -23,7 +23,8 @@ from ..functions.match import Condition, FunctionError, Value
 from ..operators import macros as macro_functions
 from ..operators.lines import to_lines
 from ..operators.segment import KEYS, Roles, segment
-from ..pattern import HOLE, Call, Name, Pattern, Variable, compile_line, dynamic_names, parse_call, parse_calls
+from ..pattern import HOLE, Call, Name, Pattern, PatternError, Variable, compile_line, dynamic_names, looks_around, parse_call, parse_calls
+from ..sources.joins import lookup_join
 from ..sources.readers import load_input
 from ..template import Group, Template, parse
 
@@ -125,7 +126,9 @@ def _argument(x: Any, variables: dict[str, Any]) -> Any:
 class Plan:
     """What `compile_template` returns."""
 
-    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, chunk_lines: int | None = None):
+    def __init__(self, template: Template, source: str, variables: dict[str, Any] | None = None, functions: dict[str, dict[str, Callable]] | None = None, lookups: dict[str, Any] | None = None, chunk_lines: int | None = None, strict: bool = False):
+        #: Refuse expressions that look around or back.
+        self.strict = strict
         #: For inputs too large for one task: lines of a chunk in which records are numbered.
         self.chunk_lines = chunk_lines
         self.template, self.source = template, source
@@ -155,6 +158,8 @@ class Plan:
             if c.name == "macro" and str(_argument(c.args[0], {})) not in self.macros:
                 raise macro_functions.MacroError(f"no such macro: {c.args[0]}")
         for p in g.patterns:
+            if self.strict and (odd := looks_around(p.regex)):
+                raise PatternError(f"line {p.line!r}: {odd} is not allowed in strict mode")
             names = [v.name for v in p.variables]
             for n in {n for n in names if names.count(n) > 1 and n not in _RESERVED}:
                 self.warnings.append(f"{n} occurs twice in {p.line!r}; the last one counts")
@@ -265,6 +270,17 @@ class Plan:
                     v = out
         return v, conditions
 
+    def _frame_lookup(self, var: Variable) -> tuple[Variable, tuple[str, DataFrame, str | None] | None]:
+        """A variable whose last function looks its value up in a large frame, without that function; and the join that takes its place."""
+        last = var.calls[-1] if var.calls else None
+        if last is None or last.name != "lookup" or var.joins:
+            return var, None
+        table = self._table(last.args[0] if last.args else last.kwargs["name"])
+        if not isinstance(table, DataFrame) or table.limit(LITERAL_ROWS + 1).count() <= LITERAL_ROWS:
+            return var, None
+        add = last.kwargs.get("add_field", last.args[1] if len(last.args) > 1 else None)
+        return Variable(var.name, var.calls[:-1], var.group), (var.name, table, None if add is None else str(add))
+
     def _variable(self, caps: Column, var: Variable) -> tuple[Value, list[Column]]:
         start = Value(F.get(caps, var.group - 1) if var.group else F.lit(""))
         # A collecting variable's list is made of whole values: joinmatches and what follows it come after.
@@ -275,6 +291,7 @@ class Plan:
     def _matches(self, lines: DataFrame, g: GroupPlan) -> tuple[DataFrame, list[str], list[str]]:
         """(input, key, line_no, p, fields...): a row for each line and pattern that fits; its fields; recorded variables."""
         made: list[tuple[Column, dict[str, Column]]] = []
+        joins: list[tuple[str, DataFrame, str | None]] = []
         fields: dict[str, None] = dict.fromkeys(g.fields)
         recorded: dict[str, None] = {}
         collected = {v.name for p in g.patterns for v in p.variables if v.joins}
@@ -292,6 +309,10 @@ class Plan:
             values: dict[str, Column] = {}
             keep = F.col(f"_c{p.index}").isNotNull()
             for var in p.variables:
+                var, join = self._frame_lookup(var)
+                if join:
+                    joins.append(join)
+                    fields.setdefault(join[2] or join[0])
                 v, conditions = self._variable(F.col(f"_c{p.index}"), var)
                 c = v.col
                 for cond in conditions:
@@ -322,6 +343,8 @@ class Plan:
                 if weak:
                     found = F.when(F.exists(found, lambda m: ~m["p"].isin(weak)), F.filter(found, lambda m: ~m["p"].isin(weak))).otherwise(found)
             out = df.select(*KEYS, "line_no", F.explode(found).alias("m")).select(*KEYS, "line_no", "m.*")
+        for name, table, add in joins:
+            out = lookup_join(out, name, table, add)
         return out, list(fields), list(recorded)
 
     # Records ------------------------------------------------------------
@@ -583,7 +606,7 @@ class Plan:
 
 
 def compile_template(text: str, base: str | None = None, **options: Any) -> Plan:
-    """Compile a template. Options: variables, functions (by kind), lookups, chunk_lines."""
+    """Compile a template. Options: variables, functions (by kind), lookups, chunk_lines, strict."""
     return Plan(parse(text, base), text, **options)
 
 

@@ -10,6 +10,8 @@ from ..functions.match import glob
 
 #: Rows of a lookup table that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Characters of a glob by which it finds the texts to try.
+GRAM = 3
 
 
 def _small(table: DataFrame) -> bool:
@@ -30,13 +32,36 @@ def lookup_join(records: DataFrame, field: str, table: DataFrame, add_field: str
 
 
 def search_join(records: DataFrame, field: str, table: DataFrame, add_field: str, keys_are_globs: bool = True) -> DataFrame:
-    """The least key that the field contains or matches as a glob. Only for tables of at most BROADCAST_ROWS keys."""
-    if not _small(table):
-        raise ValueError(f"a search tries every key; the table has more than {BROADCAST_ROWS}")
-    keys = F.broadcast(table.agg(F.array_sort(F.collect_list(F.struct(F.col("key").alias("key"), F.col("value").alias("value")))).alias("_t")))
-    c = F.col(f"`{field}`").cast("string")
-    fits = lambda k: (c.contains(k["key"]) | F.rlike(c, glob(k["key"]))) if keys_are_globs else F.rlike(k["key"], glob(c))
-    return records.crossJoin(keys).withColumn(add_field, F.get(F.filter("_t", fits), 0)["value"]).drop("_t")
+    """The value of the least key that the field contains or matches as a glob (or that matches the field, if that is the glob).
+
+    Each distinct value of the field is searched once. A glob's longest fixed
+    text must stand in what it matches, so its first GRAM characters are
+    looked up among all runs of that many of the texts: an equi-join at any
+    size, and only pairs that meet there are tried. Globs without that much
+    fixed text are tried on every text; as they say little, at most
+    BROADCAST_ROWS of them, or of the texts, may exist.
+    """
+    asked = records.select(F.col(f"`{field}`").cast("string").alias("_asked")).where("_asked is not null").distinct()
+    keys = table.select(F.col("key").alias("_key"), F.col("value").alias("_found"))
+    globs, glob_of, texts, text_of = (keys, "_key", asked, "_asked") if keys_are_globs else (asked, "_asked", keys, "_key")
+    runs = F.array_sort(F.split(glob_of, "[*?]+"), lambda a, b: F.length(b) - F.length(a))
+    globs = globs.withColumn("_gram", F.substring(F.get(runs, 0), 1, GRAM))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text_of) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col(text_of), i, GRAM)))
+    sure = globs.where(F.length("_gram") == GRAM).join(texts.withColumn("_gram", F.explode(grams)), "_gram").drop("_gram")
+    loose = globs.where(F.length("_gram") < GRAM).drop("_gram")
+    pairs = sure
+    if not loose.isEmpty():
+        if _small(loose):
+            pairs = sure.unionByName(texts.crossJoin(F.broadcast(loose)))
+        elif _small(texts):
+            pairs = sure.unionByName(loose.crossJoin(F.broadcast(texts)))
+        else:
+            raise ValueError(f"more than {BROADCAST_ROWS} globs have less than {GRAM} fixed characters on end, and as many texts are searched")
+    fits = F.rlike(F.col(text_of), glob(F.col(glob_of)))
+    if keys_are_globs:
+        fits = F.col(text_of).contains(F.col(glob_of)) | fits
+    hits = pairs.where(fits).groupBy("_asked").agg(F.min_by("_found", "_key").alias(add_field))
+    return records.drop(add_field).join(hits, F.col(f"`{field}`").cast("string") == F.col("_asked"), "left").drop("_asked")
 
 
 def as_of(records: DataFrame, order: str, value: str, by: str = "input") -> DataFrame:
