@@ -566,3 +566,18 @@ def test_drawings_and_workbooks(tmp_path):
         sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
         texts = [e.text or "" for e in sheet.iter() if e.tag.endswith("}t")]
         assert texts == ["source", "target", "a", "b", "b", "c<", "a", "None"] and len(z.namelist()) == 5
+
+
+def test_chunks_of_one_input_change_nothing(spark):
+    """Nested groups, recorded values and starts carried over chunks, for groups of each kind."""
+    import random
+
+    r = random.Random(8)
+    text = "\n".join(r.choice(["p %d" % i, "p %d k" % i, " c %d" % i, "  d %d" % i, "m %d" % i, "!", "x"]) for i in range(120))
+    heads = ["p {{ a }}", "p {{ a }} {{ _start_ }}", "p {{ a }} {{ k | equal(\"k\") }}", "p {{ a | record(\"last\") }}\nm {{ b }}"]
+    for head in heads:
+        for attrs in ("", 'method="table"', "functions=\"set('last', 'l', default='-')\""):
+            t = f'<group name="g*" {attrs}>\n{head}\n<group name="c*">\n c {{{{ c }}}}\n<group name="d*">\n  d {{{{ d }}}}\n</group>\n</group>\n</group>'
+            plans = [compile_template(t, chunk_lines=n) for n in (None, 7)]
+            one, many = [as_python(p.results(p.inputs(spark, {"a": text}))) for p in plans]
+            assert one == many, (head, attrs)

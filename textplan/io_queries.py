@@ -21,6 +21,7 @@ from .plans.plan import Plan, compile_template, load
 from .queries import CUSTOMER, customer_lines, customer_stanzas, nations
 from .registry import query, table
 from .sources import readers, returners
+from .sources.joins import search_join
 from .sources.scratch import shared_dir
 from .streaming.stream import parse_stream
 from .template import validate
@@ -242,6 +243,23 @@ def vars_named_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(v["c"]["custkey"].alias("custkey"), v["about"]["host"].alias("host"))
 
 
+@query("lookup_frame", "SELECT o_orderkey AS orderkey, c_name AS cust FROM orders JOIN customer ON c_custkey = o_custkey")
+def lookup_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lookup() in a frame: a literal where it is small, else a join."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("input"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("o_custkey").cast("string")).alias("text"))
+    names = readers.lookup_table(table(spark, sf_dir, "customer"), "c_custkey", "c_name")
+    p = compile_template('<group name="o">\norder {{ orderkey | to_int }} of {{ cust | lookup("names") }}\n</group>', lookups={"names": names})
+    return p.records(o).select("orderkey", "cust")
+
+
+@query("lookup_search_many", "SELECT c_custkey AS custkey, min(o_orderkey) AS orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def lookup_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in as many keys as there are orders: globs that end in a customer's number."""
+    r = compile_template(f'<group name="c">\n{CUSTOMER}{{{{ s }}}}\n</group>').records(customer_lines(spark, sf_dir, "'<at-' || c_custkey || '>'"))
+    keys = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("value")).select(F.concat(F.lit("*t-"), F.col("o_custkey").cast("string"), F.lit(">")).alias("key"), "value")
+    return search_join(r, "s", keys, "orderkey").select("custkey", "orderkey")
+
+
 # The template language ----------------------------------------------------------
 
 
@@ -492,6 +510,14 @@ def output_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("output_drawing", "SELECT 2 + count(*) + (SELECT count(DISTINCT x) FROM (SELECT CAST(n_nationkey AS VARCHAR) AS x FROM nation UNION ALL SELECT n_name FROM nation)) AS cells FROM nation")
+def output_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a diagram with a layout: two of its own, one for each node and edge."""
+    found = _nation_results(spark, sf_dir, '<output format="n2g" functions="traverse(\'n\')" source="nation" target="name" module="drawio" algo="layers"/>')
+    found = found if isinstance(found, str) else found[0]
+    return spark.createDataFrame([(found.count("<mxCell "),)], "cells bigint")
+
+
 @query("output_pipeline", "SELECT n_name AS key, CAST(n_nationkey AS BIGINT) AS nation FROM nation")
 def output_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several functions in order, then a format."""

@@ -48,6 +48,26 @@ class Roles:
         return self.table or self.patterns == 1 and not self.joined and self.closed
 
 
+def last_so_far(rows: DataFrame, columns: list[str], by: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
+    """These columns with the last value that isn't null up to each row, along `order` within `by`.
+
+    With a chunk (a number that grows along the order), no task holds more
+    than one of them: each chunk's last values are carried to the next ones
+    through a table of one row a chunk.
+    """
+    quoted = [f"`{c}`" for c in columns]
+    if chunk is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({c: F.last(F.col(q), ignorenulls=True).over(w) for c, q in zip(columns, quoted, strict=True)})
+    rows = rows.withColumn("_chunk", chunk)
+    mine = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(*by, "_chunk").agg(*[F.max_by(F.col(q), F.when(F.col(q).isNotNull(), F.struct(*order))).alias(f"_last{i}") for i, q in enumerate(quoted)])
+    chunks = chunks.select(*by, "_chunk", *[F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_last{i}") for i in range(len(columns))])
+    rows = rows.join(chunks, [*by, "_chunk"]).withColumns({c: F.coalesce(F.last(F.col(q), ignorenulls=True).over(mine), F.col(f"_last{i}")) for i, (c, q) in enumerate(zip(columns, quoted, strict=True))})
+    return rows.drop("_chunk", *[f"_last{i}" for i in range(len(columns))])
+
+
 def segment(matches: DataFrame, roles: Roles, chunk_lines: int | None = None) -> DataFrame:
     """Add `rec` (and `end_line`) to the matches of records.
 

@@ -22,7 +22,7 @@ from ..functions import match as match_functions
 from ..functions.match import Condition, FunctionError, Value
 from ..operators import macros as macro_functions
 from ..operators.lines import to_lines
-from ..operators.segment import KEYS, Roles, segment
+from ..operators.segment import KEYS, Roles, last_so_far, segment
 from ..pattern import HOLE, Call, Name, Pattern, PatternError, Variable, compile_line, dynamic_names, looks_around, parse_call, parse_calls
 from ..sources.joins import lookup_join
 from ..sources.readers import load_input
@@ -357,9 +357,7 @@ class Plan:
         joins = {v.name: v for p in g.patterns for v in p.variables if v.joins}
         roles = g.roles
         if recorded:  # the latest value up to each match
-            w = Window.partitionBy("input").orderBy("line_no", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            for r in recorded:
-                matches = matches.withColumn(f"_r:{r}", F.last(F.col(f"`_r:{r}`"), ignorenulls=True).over(w))
+            matches = last_so_far(matches, [f"_r:{r}" for r in recorded], ["input"], ["line_no", "p"], self._chunk)
         rows = segment(matches, roles, self.chunk_lines)
         at = F.col("line_no") * roles.patterns + F.col("p")
         if roles.one_line and not joins:
@@ -384,7 +382,7 @@ class Plan:
             aggs += [F.max_by(F.col(f"`_r:{r}`"), "at").alias(f"_r:{r}") for r in recorded]
             df = rows.groupBy(*KEYS, "rec").agg(*aggs)
         for child in g.children:
-            df, fields = self._nest(lines, df, fields, child)
+            df, fields = self._nest(lines, df, fields, g, child)
         return self._finish(df, fields, recorded, g, lines)
 
     def _wrapper(self, lines: DataFrame, g: GroupPlan) -> tuple[DataFrame, list[str]]:
@@ -398,13 +396,40 @@ class Plan:
             raise FunctionError(f"group {g.name!r} has neither patterns nor groups")
         return out, fields
 
-    def _nest(self, lines: DataFrame, df: DataFrame, fields: list[str], child: GroupPlan) -> tuple[DataFrame, list[str]]:
-        """Children among the lines from a parent's start to the next one's (or its end): no join of intervals but a window."""
-        w = Window.partitionBy(*KEYS).orderBy("line_no", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    @property
+    def _chunk(self) -> Column | None:
+        return F.floor(F.col("line_no") / self.chunk_lines) if self.chunk_lines else None
+
+    def _inside(self, lines: DataFrame, df: DataFrame, g: GroupPlan) -> DataFrame:
+        """Lines from each record's start to the next one's (or its end), keyed by the record: no join of intervals but a window."""
+        roles = g.roles
+        if roles.closed and not (roles.markers and roles.starts - roles.markers):
+            # What starts a record is seen in the line itself, so the records need not be made to find their lines.
+            begins = [F.when(self._fits(p), F.lit(p.index)) for p in g.patterns if p.index in (roles.markers or roles.starts)]
+            at = F.coalesce(*begins) if roles.table or len(begins) == 1 else F.greatest(*begins)
+            own = lines.withColumn("_in", F.col("line_no") * roles.patterns + at)
+            own = last_so_far(own, ["_in"], KEYS, ["line_no"], self._chunk).where("_in is not null")
+            return own.select("input", F.array_append("key", F.col("_in")).alias("key"), "line_no", "line")
         starts = df.select(*KEYS, F.col("start_line").alias("line_no"), F.lit(0).alias("kind"), F.struct("rec", "end_line").alias("_in"))
         own = lines.select(*KEYS, "line_no", F.lit(1).alias("kind"), "line").unionByName(starts, allowMissingColumns=True)
-        own = own.withColumn("_in", F.last("_in", ignorenulls=True).over(w)).where("kind = 1 and _in is not null and (_in.end_line is null or line_no <= _in.end_line)")
-        own = own.select("input", F.array_append("key", F.col("_in.rec")).alias("key"), "line_no", "line")
+        own = last_so_far(own, ["_in"], KEYS, ["line_no", "kind"], self._chunk).where("kind = 1 and _in is not null and (_in.end_line is null or line_no <= _in.end_line)")
+        return own.select("input", F.array_append("key", F.col("_in.rec")).alias("key"), "line_no", "line")
+
+    def _fits(self, p: Pattern) -> Column:
+        """Whether a line fits a pattern and the conditions on what it captures."""
+        fits = F.col("line").rlike(p.regex)
+        if p.literal:
+            fits = F.col("line").contains(p.literal) & fits
+        for var in p.variables:
+            caps = F.split(F.regexp_replace("line", p.regex, "\x01".join(f"${i + 1}" for i in range(p.groups))), "\x01", -1)
+            _, conditions = self._variable(caps, self._frame_lookup(var)[0])
+            for cond in conditions if not var.joins else []:
+                fits = fits & cond
+        return F.coalesce(fits, F.lit(False))
+
+    def _nest(self, lines: DataFrame, df: DataFrame, fields: list[str], g: GroupPlan, child: GroupPlan) -> tuple[DataFrame, list[str]]:
+        """Records of a nested group, gathered by the record that they are in."""
+        own = self._inside(lines, df, g)
         inner, names = self._records(own, child)
         base = child.name.split(".")[-1].replace("*", "")
         item = inner.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.struct(*[F.col(f"`{n}`") for n in names]).alias("r")))), lambda x: x["r"]).alias("_nested"))
