@@ -4,6 +4,11 @@ quality classifier -> MinHash near-dedup -> suffix-array dedup -> benchmark
 decontamination -> mixing to target weights. `run` applies them to
 `documents`; every stage sees all that the one before kept. No stage can be
 put in SQL as a whole, so ORACLE_SQL is None and tests compare with brute force.
+
+Defined results, for every stage: any column may be null; an empty table gives
+an empty table; rows may repeat; columns that `documents` doesn't have are
+dropped, whatever their names, by all stages but the last, which carries them.
+What a stage does with ties, nulls and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -26,7 +31,13 @@ def _with_text(df: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    A score depends on the text alone, so rows that repeat share their fate;
+    null and empty texts score as an empty text does; ids may be null. A score
+    that ties with the cut is kept. Without any label nothing can be learned
+    and every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _documents(quality.classify(docs, labels).where("predicted = 1"))
 
@@ -50,20 +61,28 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that occur elsewhere are cut out; characters cut in half go whole."""
+    """Passages of 200 bytes or more that occur elsewhere are cut out; characters cut in half go whole.
+
+    All copies of a passage are cut, so rows that repeat as a whole lose it in
+    each; null texts become empty ones.
+    """
     found = repeats.suffix_array_dedup(docs, width=200, as_text=True)
     return _with_text(found, F.col("kept"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of benchmark windows are cut out of documents."""
+    """Words of benchmark windows are cut out of documents; null texts stay null, an empty benchmark cuts nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_benchmark(docs, benchmark)
     return _with_text(found, F.expr(decontaminate.without_spans()))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; in place of the text, its size, its source's size and target, and the words taken.
+
+    A null text has no words and a null source is one of its own, weighed
+    last; rows that repeat are taken each for itself.
+    """
     return mixing.mix_sources(docs)
 
 
