@@ -79,3 +79,26 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     a = sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
     assert a and a == sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Empty tables, null columns, rows that repeat, and columns that clash with the operators' own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, None, None, None), (7, None, None, None, 0), (7, "", "en", "s", 0), (8, "one two", None, "s", 7), (8, "one two", None, "s", 7)], docs.schema))
+    odd = odd.selectExpr("*", "1 as kept", "'x' as score", "2 as id", "array(1) as spans", "3 as size", "4 as n")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        out = stage(spark, odd, sf_dir)
+        got = out.collect()
+        assert len(got) == 5 or name in ("quality classifier", "MinHash near-dedup"), name
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == docs.columns, name
+        if name == "MinHash near-dedup":
+            assert sorted(map(str, (r.doc_id for r in got))) == ["7", "8", "None"]
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    """Without labels every document stays."""
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9), (2, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == 2

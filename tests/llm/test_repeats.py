@@ -86,6 +86,20 @@ def test_words_that_defeat_polynomials(spark):
     assert [r.n_removed for r in suffix_array_dedup(df, 2100).collect()] == [0, 0]
 
 
+def test_very_long_texts(spark):
+    """A passage between two texts of 2 MB, one of which repeats itself without end."""
+    r = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    shared = prose(3000)
+    one, two = prose(280_000) + " " + shared + " " + prose(1000), "again and " * 200_000 + shared
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in lempel_ziv_dedup(df, 35).collect()}
+    assert got == {1: (3000, 1), 2: (400_000 + 3000, 1)}
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_array_dedup(df, 200).collect()}
+    size = len(shared)
+    assert got[1][1] == 1 and size <= got[1][0] <= size + 4 and got[2] == (len(two), 1)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert suffix_array_dedup(df).count() == 0
