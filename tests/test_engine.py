@@ -581,3 +581,32 @@ def test_chunks_of_one_input_change_nothing(spark):
             plans = [compile_template(t, chunk_lines=n) for n in (None, 7)]
             one, many = [as_python(p.results(p.inputs(spark, {"a": text}))) for p in plans]
             assert one == many, (head, attrs)
+
+
+def test_template_checks(spark):
+    from textplan.functions.group import FUNCTIONS
+    from textplan.pattern import PatternError
+    from textplan.template import check_template, parse
+
+    t = parse('<input load="gnmi"/><input load="json"/>\n<group name="g" functions="contains(\'a\') | odd(1">\na {{ a }}\n<group name="h" chain="what | delete(\'x\')">\nb {{ b }}\n</group>\n</group>\n<output format="odd" returner="nowhere"/>\n<macro>\ndef (\n</macro>')
+    found = " ".join(check_template(t, tuple(FUNCTIONS)))
+    assert all(x in found for x in ("load: gnmi", "pair up", "no such function: what", "format: odd", "returner: nowhere", "macro:")) and "json" not in found
+    assert check_template(parse('<group name="g">\na {{ a }}\n</group>')) == []
+    # The engine's own expressions are known, and its errors found, when the template is compiled.
+    assert compile_template(r'<group name="g">' + "\n" + r'a {{ a | re("\p{Lu}+") }}' + "\n</group>").groups
+    with pytest.raises(PatternError):
+        compile_template('<group name="g">\na {{ a | re("(") }}\n</group>')
+
+
+def test_sibling_templates_keep_their_attributes(spark):
+    t = '<template results="per_template">\n<group name="a*">\na {{ x }}\n</group>\n</template>\n<template>\n<group name="b">\nb {{ y }}\n</group>\n</template>'
+    p = Parser(spark).add_template(t).add_input("a 1\nb 2", "one").add_input("a 3", "two")
+    assert p.parse() == [[{"a": [{"x": "1"}, {"x": "3"}]}], [{"b": {"y": "2"}}, {}]]
+
+
+def test_inputs_in_formats(spark):
+    g = '\n<group name="g*">\nv {{ v }}\n</group>'
+    values = lambda tag: sorted(r.v for r in (lambda p: p.records(p.inputs(spark)).collect())(compile_template(tag + g)))
+    assert values('<input load="json">\n["v 1", "v 2\\nv 3"]\n</input>') == ["1", "2", "3"]
+    assert values('<input load="yaml">\none: v 1\ntwo: |\n  v 2\n  v 3\n</input>') == ["1", "2", "3"]
+    assert values('<input load="csv">\nv 1\n</input>') == ["1"]

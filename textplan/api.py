@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.outputs import apply_outputs
-from .plans.plan import Plan, compile_template
+from .plans.plan import Plan, compile_siblings
 from .sources.returners import as_python
 from .template import validate
 
@@ -48,7 +48,8 @@ class Parser:
         return self
 
     def plans(self) -> list[Plan]:
-        return [compile_template(t, base, variables=self.variables, lookups=self.lookups, functions=self.functions) for t, base in self._templates]
+        """One for each template; <template> tags side by side are templates of their own."""
+        return [p for t, base in self._templates for p in compile_siblings(t, base, variables=self.variables, lookups=self.lookups, functions=self.functions)]
 
     def frames(self) -> list[dict[str, DataFrame]]:
         """Typed records by group, for each template."""

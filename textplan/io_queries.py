@@ -37,6 +37,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textplan/{name}-{uuid.uuid4().hex}"
 
 
+def returners_path(spark: SparkSession, df: DataFrame) -> str:
+    """Where a frame was written."""
+    path = fresh(spark, "written")
+    returners.file(df, path, "parquet")
+    return path
+
+
 def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_lines(spark, sf_dir, "c_mktsegment")
 
@@ -536,9 +543,7 @@ def output_is_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("returner_file", _SEGMENT)
 def returner_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh(spark, "returner-file")
-    returners.file(compile_template(_SEGMENT_LINES).records(segment_lines(spark, sf_dir)).drop("input"), path, "parquet")
-    return spark.read.parquet(path)
+    return spark.read.parquet(returners_path(spark, compile_template(_SEGMENT_LINES).records(segment_lines(spark, sf_dir)).drop("input")))
 
 
 @query("returner_terminal", _NATION)

@@ -7,6 +7,9 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 #: Built-in names and their patterns.
 BUILTIN = {
     "PHRASE": r"(?:\S+ {1})+?\S+",
@@ -229,11 +232,25 @@ def compile_line(line: str, index: int, variables: dict[str, Any]) -> Pattern:
     p.regex = f"(?d)^{out}" + ("$" if exact_space else r"[\t ]*$")
     pieces = re.split(r"\d+|[ \t]+", HOLE.sub("\0", line).replace("\0", "  ")) if not exact else [HOLE.sub("  ", line)]
     p.literal = max((x.strip() for x in re.split(r"\s{2,}", "  ".join(pieces))), key=len, default="")
+    if wrong := what_is_wrong(p.regex):
+        raise PatternError(f"line {line!r}: {wrong}")
+    return p
+
+
+def what_is_wrong(regex: str) -> str | None:
+    """Why an expression can't be compiled: by the engine that runs it, or by Python's while no session is there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and hasattr(spark, "_jvm"):
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(regex)
+        except IllegalArgumentException as e:
+            return str(e)
+        return None
     try:
-        re.compile(out.replace("(?d)", ""))
+        re.compile(regex.replace("(?d)", ""))
     except re.error as e:
-        raise PatternError(f"line {line!r}: {e}") from e
-    return p
+        return str(e)
+    return None
 
 
 def looks_around(regex: str) -> str | None:

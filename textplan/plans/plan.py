@@ -26,7 +26,7 @@ from ..operators.segment import KEYS, Roles, last_so_far, segment
 from ..pattern import HOLE, Call, Name, Pattern, PatternError, Variable, compile_line, dynamic_names, looks_around, parse_call, parse_calls
 from ..sources.joins import lookup_join
 from ..sources.readers import load_input
-from ..template import Group, Template, parse
+from ..template import Group, Template, parse, siblings
 
 #: Functions that a group may use and still be read record by record.
 STREAMABLE = {"contains", "containsall", "exclude", "excludeall", "equal", "contains_val", "exclude_val", "set", "record", "delete", "del", "to_int", "sformat", "to_ip", "expand", "items2dict", "cerberus", "validate", "macro"}
@@ -559,7 +559,7 @@ class Plan:
     def inputs(self, spark: SparkSession, passed: DataFrame | dict[str, str] | None = None, fetch: bool = False) -> DataFrame:
         """(input, text, tag): what the template's <input> tags load, and the texts passed, which win over the same name.
 
-        A tag's `load` is text (its own content), file or directory (`url`:
+        A tag's `load` is text (its own content; also json, yaml or csv), file or directory (`url`:
         paths, comma-separated; `extensions` without dots and `filters`,
         expressions one of which the path must contain), url (only with
         `fetch`) or database (`url`: its address, `query`, `format`: csv or
@@ -635,6 +635,11 @@ def compile_template(text: str, base: str | None = None, **options: Any) -> Plan
     return Plan(parse(text, base), text, **options)
 
 
+def compile_siblings(text: str, base: str | None = None, **options: Any) -> list[Plan]:
+    """A plan for each of several <template> tags side by side, with its own attributes; else one."""
+    return [compile_template(t, base, **options) for t in siblings(text)]
+
+
 def load(saved: str, **options: Any) -> Plan:
     d = json.loads(saved)
     return Plan(parse(d["source"]), d["source"], variables=d["variables"], lookups=d["lookups"], **options)

@@ -64,10 +64,17 @@ def as_one_text(df: DataFrame, name: str, kind: str = "csv") -> DataFrame:
 
 
 def load_input(spark: SparkSession, attrs: dict[str, str], text: str, fetch: bool = False) -> DataFrame | None:
-    """(input, text) of an <input> tag; None for one without text or address."""
+    """(input, text) of an <input> tag; None for one without text or address.
+
+    json and yaml hold one text, a list of texts or texts by name; csv is text as it is.
+    """
     kind, name = attrs.get("load", "text"), attrs.get("name")
     address = [x.strip() for x in attrs.get("url", "").split(",") if x.strip()]
-    if kind == "text":
+    if kind in ("json", "yaml") and text.strip():
+        data = load_text(text, kind)
+        named = data.items() if isinstance(data, dict) else [(name or "Default_Input", data)] if isinstance(data, str) else [(f"{name or 'Default_Input'}-{i}", x) for i, x in enumerate(data)]
+        return spark.createDataFrame([(str(k), x if isinstance(x, str) else json.dumps(x)) for k, x in named], "input string, text string")
+    if kind in ("text", "json", "yaml", "csv"):
         return spark.createDataFrame([(name or "Default_Input", text.strip("\n"))], "input string, text string") if text.strip() else None
     if kind in ("file", "directory", "url", "database") and not address:
         raise ValueError(f"<input load={kind!r}> has no url")

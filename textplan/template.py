@@ -200,21 +200,59 @@ def parse(text: str, base: str | Path | None = None, seen: tuple[str, ...] = ())
     return t
 
 
-def validate(text: str) -> list[str]:
-    """What is wrong with a template's text; empty if nothing is."""
+#: What inputs, outputs and lookups may name.
+INPUT_LOADS = ("text", "yaml", "json", "csv", "file", "directory", "url", "database")
+LOOKUP_LOADS = ("python", "yaml", "json", "csv", "ini")
+FORMATS = ("raw", "json", "yaml", "table", "csv", "pprint", "tabulate", "excel", "jinja2", "n2g")
+RETURNERS = ("self", "terminal", "file", "syslog")
+
+
+def siblings(text: str) -> list[str]:
+    """The texts of several <template> tags side by side, each with attributes of its own; else the text itself."""
+    root = tree(text)
+    if len(root.children) < 2 or any(c.kind != "template" for c in root.children) or root.text.strip():
+        return [text]
+    out, depth, begin = [], 0, 0
+    for m in _TAG.finditer(text):
+        if KINDS[m[2]] == "template" and not m[4]:
+            begin = m.start() if not m[1] and depth == 0 else begin
+            depth += -1 if m[1] else 1
+            if depth == 0:
+                out.append(text[begin : m.end()])
+    return out
+
+
+def check_template(t: Template, functions: tuple[str, ...] | None = None) -> list[str]:
+    """What is wrong with a parsed template: kinds that don't exist, calls whose parentheses don't pair up, macros that are no Python, and, given the group functions there are, others."""
     found: list[str] = []
-    try:
-        t = parse(text)
-    except (TemplateError, SyntaxError, ValueError, KeyError, OSError) as e:
-        return [str(e)]
-    if text.count("{{") != text.count("}}"):
-        found.append("{{ and }} do not pair up")
+
+    def group(g: Group) -> None:
+        for key in ("functions", "chain"):
+            for call in (x.strip() for x in g.attrs.get(key, "").split("|")):
+                if call.count("(") != call.count(")"):
+                    found.append(f"group {g.name!r}: parentheses of {call!r} do not pair up")
+                elif functions is not None and call and call.split("(")[0] not in functions:
+                    found.append(f"group {g.name!r}: no such function: {call.split('(')[0]}")
+        for c in g.children:
+            group(c)
+
+    for g in t.groups:
+        group(g)
+    for kind, nodes, attribute, known in (("input", t.inputs, "load", INPUT_LOADS), ("output", t.outputs, "format", FORMATS), ("output", t.outputs, "returner", RETURNERS)):
+        found += [f"{kind}: no such {attribute}: {n.attrs[attribute]}" for n in nodes if n.attrs.get(attribute, known[0]) not in known]
     for m in t.macros:
         try:
             ast.parse(m)
         except SyntaxError as e:
             found.append(f"macro: {e}")
-    for o in t.outputs:
-        if o.attrs.get("format", "raw") not in ("raw", "json", "yaml", "table", "csv", "pprint", "tabulate", "excel", "jinja2", "n2g"):
-            found.append(f"output: no such format: {o.attrs['format']}")
-    return found + t.warnings
+    return found
+
+
+def validate(text: str) -> list[str]:
+    """What is wrong with a template's text; empty if nothing is."""
+    try:
+        t = parse(text)
+    except (TemplateError, SyntaxError, ValueError, KeyError, OSError) as e:
+        return [str(e)]
+    found = ["{{ and }} do not pair up"] if text.count("{{") != text.count("}}") else []
+    return found + check_template(t) + t.warnings
