@@ -18,7 +18,7 @@
    lost and a bucket of thousands of copies costs one pair for each.
 
 At similarity s a pair shares no band with probability (1 - s^ROWS)^BANDS,
-6e-9 at 0.85 and 5e-6 at 0.8, while one of similarity 0.4 meets with 0.15; the
+7e-9 at 0.85 and 3e-6 at 0.8, while one of similarity 0.4 meets with 0.28; the
 estimate is trusted to six standard errors.
 
 A document's id is its node. Rows of one id with different texts are in several
@@ -47,7 +47,7 @@ from ._store import Scratch
 from ._text import NOT_SPACE, U, Words, as_long, flat, mix, pieces, shingle_hash
 from .components import components
 
-BANDS, ROWS, BITS = 40, 6, 4
+BANDS, ROWS, BITS = 32, 5, 4
 HASHES = BANDS * ROWS
 #: Classes of a bucket that are compared in one block.
 BLOCK = 1024
