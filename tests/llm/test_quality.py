@@ -43,6 +43,7 @@ def test_held_out_accuracy(spark):
     again = classify(d.repartition(5), spark.createDataFrame(other, "doc_id long, quality int")).collect()
     key = lambda rows: sorted((str(r.doc_id), r.score) for r in rows)
     assert key(got) == key(again)
+    assert key(got) == key(classify(d.repartition(1), known).collect())
 
 
 def test_without_labels_and_empty(spark):

@@ -192,7 +192,9 @@ def _repaired(walked: DataFrame, targets: list[float], large: list[int], scratch
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Choose how many words of each document a mix takes.
 
-    Sources, in order of code point with null last, weigh `weights`, repeating.
+    Sources, in order of code point with null last, weigh `weights`, repeating;
+    a row for each of them reaches the driver, so they are kinds of origin, not
+    one for each document.
     Returns the columns of `docs` but the text, and size, source_size, target
     (of the source) and taken (a whole number of times the size, `most` at most).
     """

@@ -101,7 +101,11 @@ class Ranker:
         self.mean, self.scale, self.weights, self.middle, self.steep, self.cut = mean, scale, weights, middle, steep, cut
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale).clip(-6, 6) @ self.weights
+        z = ((x - self.mean) / self.scale).clip(-6, 6)
+        out = np.zeros(len(x))
+        for j, w in enumerate(self.weights):  # in one order, so that a score does not depend on a batch's size
+            out += z[:, j] * w
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.steep * (self.raw(x) - self.middle) + np.log(self.cut / (1 - self.cut))
@@ -140,7 +144,7 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Fit on at most SAMPLE labelled documents that aren't held out."""
+    """Fit on at most SAMPLE labelled documents that aren't held out; of rows with one id, one."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("y")).where("y <> 0.5")
     known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", F.round("y").cast("int").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -150,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "d
             x = features(b["text"])
             yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    rows = texts.join(F.broadcast(known), "id").mapInArrow(go, "id long, y int, x array<double>").toArrow()
+    # One row of each id (the least features), so that the sample stays bounded where rows repeat an id.
+    rows = texts.join(F.broadcast(known), "id").mapInArrow(go, "id long, y int, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0), cut)
     x = np.stack(rows["x"].to_numpy())
