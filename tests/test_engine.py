@@ -610,3 +610,39 @@ def test_inputs_in_formats(spark):
     assert values('<input load="json">\n["v 1", "v 2\\nv 3"]\n</input>') == ["1", "2", "3"]
     assert values('<input load="yaml">\none: v 1\ntwo: |\n  v 2\n  v 3\n</input>') == ["1", "2", "3"]
     assert values('<input load="csv">\nv 1\n</input>') == ["1"]
+
+
+def test_streams_equal_batches_for_each_function(spark, tmp_path):
+    """A group of several lines for every function that may be streamed."""
+    import json
+
+    from textplan.plans.plan import STREAMABLE, NotStreamable
+    from textplan.streaming.stream import stream_frame, stream_records
+
+    calls = {
+        "contains": 'contains="d"', "containsall": 'containsall="d, m"', "exclude": 'exclude="m"', "excludeall": 'excludeall="d, m"',
+        "equal": "equal=\"d, 'x'\"", "contains_val": "contains_val=\"d, 'x'\"", "exclude_val": "exclude_val=\"d, 'x'\"",
+        "set": "functions=\"set('v', 's', default='z')\"", "record": "functions=\"record('d', 'kept') | set('kept', 's')\"", "delete": "functions=\"delete('d')\"",
+        "del": 'del="m"', "to_int": "functions=\"to_int('m')\"", "sformat": "functions=\"sformat('{n}/{d}', 'id')\"", "to_ip": "functions=\"to_ip('m')\"",
+        "expand": 'functions="expand()"', "items2dict": "functions=\"items2dict('d', 'm')\"", "cerberus": "functions=\"cerberus('rules')\"",
+        "validate": "functions=\"validate('rules')\"", "macro": 'macro="mark" fields="long boolean"',
+    }
+    assert set(calls) == STREAMABLE
+    macro = '<macro>\ndef mark(r):\n    r["long"] = len(r.get("d", "")) > 1\n    return r.get("m") != "9"\n</macro>\n'
+    macro = macro.replace('return r.get("m") != "9"', 'return r if r.get("m") != "9" else False')
+    groups = [f'<group name="{n}" {tag} default="none">\nn {{{{ n | to_int }}}}\n d {{{{ {"a.b" if n == "expand" else "d"} }}}}\n m {{{{ m }}}}\n</group>' for n, tag in calls.items()]
+    plan = compile_template(macro + "\n".join(groups), variables={"v": "seven", "rules": {"m": {"type": "integer", "max": 5}, "d": {"required": True}}})
+    assert plan.is_streamable
+    text = "n 1\n d x\nn 2\nn 3\n d y\n m 3\nn 4\n d xx\n m 9\n"
+    spark.createDataFrame([("a", i, x) for i, x in enumerate((text + "n 5\n").split("\n"))], "input string, line_no long, line string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("input string, line_no long, line string").parquet(str(tmp_path / "in"))
+    inputs = spark.createDataFrame([("a", text)], "input string, text string")
+    with pytest.raises(NotStreamable, match="query each"):
+        stream_records(plan, source)
+    queries = {n: stream_frame(plan, source, n).writeStream.format("memory").queryName(f"each_{n}").outputMode("append").option("checkpointLocation", str(tmp_path / n)).trigger(once=True).start() for n in calls}
+    order = lambda df: sorted(str(r) for r in df.collect())
+    for n, q in queries.items():
+        assert q.awaitTermination(120), n
+        batch, stream = plan.records(inputs, n), spark.table(f"each_{n}").drop("at")
+        assert batch.columns == stream.columns and order(batch) == order(stream), n
+        assert 0 < stream.count() <= 4, n

@@ -41,9 +41,14 @@ def parse_stream(plan: Plan, inputs: DataFrame, each: Callable[[dict[str, Any],
 
 
 def stream_records(plan: Plan, lines: DataFrame, timeout: str = "1 minute") -> DataFrame:
-    """(input, at, record): records of a streaming DataFrame (input string, line_no bigint, line string), as JSON."""
+    """(input, at, record): records of a streaming DataFrame (input string, line_no bigint, line string), as JSON.
+
+    One query holds the state of one group of several lines; for more of them, start a query for each (`stream_frame`).
+    """
+    groups = _streamable(plan)
+    _one_state(groups)
     out: DataFrame | None = None
-    for g in _streamable(plan):
+    for g in groups:
         df, fields = _group_stream(plan, lines, g, timeout)
         part = df.select("input", "at", F.to_json(F.struct(*[F.col(f"`{f}`") for f in fields])).alias("record"))
         out = part if out is None else out.unionByName(part)
@@ -53,12 +58,13 @@ def stream_records(plan: Plan, lines: DataFrame, timeout: str = "1 minute") -> D
 
 def stream_frame(plan: Plan, lines: DataFrame, path: str | None = None, timeout: str = "1 minute") -> DataFrame:
     """Typed records of the groups with this name (or of the only one): input, at and the fields, as `Plan.records` gives them for a batch."""
+    groups = [g for g in _streamable(plan) if path is None or g.name.replace("*", "") == path]
+    _one_state(groups)
     out: DataFrame | None = None
-    for g in _streamable(plan):
-        if path is None or g.name.replace("*", "") == path:
-            df, fields = _group_stream(plan, lines, g, timeout)
-            df = df.select("input", "at", *[F.col(f"`{f}`") for f in fields])
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    for g in groups:
+        df, fields = _group_stream(plan, lines, g, timeout)
+        df = df.select("input", "at", *[F.col(f"`{f}`") for f in fields])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no group named {path}")
     return out
@@ -70,6 +76,12 @@ def _streamable(plan: Plan) -> list[GroupPlan]:
     return plan.groups
 
 
+def _one_state(groups: list[GroupPlan]) -> None:
+    held = [g.name or "_anonymous_" for g in groups if not g.roles.one_line]
+    if len(held) > 1:
+        raise NotStreamable({n: ["several groups of several lines need a query each"] for n in held})
+
+
 def _group_stream(plan: Plan, lines: DataFrame, g: GroupPlan, timeout: str) -> tuple[DataFrame, list[str]]:
     lines = lines.select("input", F.expr("cast(array() as array<bigint>)").alias("key"), F.col("line_no").cast("bigint").alias("line_no"), F.rtrim("line", F.lit("\r \t")).alias("line"))
     return plan._records(lines, g) if g.roles.one_line else _stateful(plan, lines, g, timeout)
