@@ -9,6 +9,8 @@ are compared afterwards by their content or a 128-bit digest of it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,8 +89,15 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task shares an executor with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes of text; a longer text is a slice of its own."""
+    """Slices of the batches with about `most` bytes of text; a longer text is a slice of its own. Freed memory is given back at the end."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -98,6 +107,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
