@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import inputs as input_functions
 from .functions import outputs as output_functions
+from .operators.lines import to_lines
 from .plans.plan import LITERAL_ROWS, compile_template
 from .registry import QUERIES, SQL, query, spread, table
 from .sources.joins import as_of, lookup_join, search_join
@@ -167,8 +168,6 @@ def dialog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("document_lines", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.lines import to_lines
-
     t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("input"), "text")
     return to_lines(t).groupBy("input").agg(F.count("*").alias("n")).select(F.col("input").cast("bigint").alias("doc_id"), "n")
 
@@ -216,8 +215,9 @@ def streamed(df: DataFrame, name: str, **trigger) -> DataFrame:
 @query("stream_parity", "SELECT l_orderkey AS orderkey, l_partkey AS partkey, l_returnflag AS flag FROM lineitem")
 def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat template over a file stream, written to files."""
-    lines = as_stream(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), F.lit(0).alias("line_no"), lineitem_line().alias("line"))
-    return streamed(stream_frame(compile_template(LI_FLAT), lines), "stream-parity").select("orderkey", "partkey", "flag")
+    texts = as_stream(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), lineitem_line().alias("text"))
+    lines = to_lines(texts).drop("key")
+    return streamed(stream_frame(compile_template(LI_FLAT), lines).select("orderkey", "partkey", "flag"), "stream-parity")
 
 
 @query("stream_stanzas", "SELECT c_custkey AS custkey, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_custkey % 3 = 0")
