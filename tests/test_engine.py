@@ -537,6 +537,21 @@ def test_search_join_by_fixed_text(spark):
     assert got == {0: "AUTOMOBILE", 1: "ABCDEF", 2: "xyz", 3: None, 4: None}
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 10])
+def test_search_join_tries_few_pairs_of_globs_alike(spark, monkeypatch, broadcast):
+    """Globs with one beginning and one end: by their first three characters, each text met over a hundred of them."""
+    from textplan.sources import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    n, pairs = 1200, joins._meetings
+    monkeypatch.setattr(joins, "_meetings", lambda *a: tried.append(pairs(*a)) or tried[-1])
+    tried = []
+    records = spark.range(n).selectExpr("id", "'<at-' || id || '>' as v")
+    table = spark.range(n).selectExpr("'*t-' || id || '>' as key", "id as value")
+    assert all(r.id == r.hit for r in joins.search_join(records, "v", table, "hit").collect())
+    assert n <= tried[0].count() <= 4 * n
+
+
 def test_lookup_in_a_large_frame(spark, monkeypatch):
     from textplan.plans import plan as plans
     from textplan.sources.readers import lookup_table
