@@ -552,6 +552,17 @@ def test_search_join_tries_few_pairs_of_globs_alike(spark, monkeypatch, broadcas
     assert n <= tried[0].count() <= 4 * n
 
 
+def test_named_folder_of_several_files(spark, tmp_path):
+    """Lines of each file keep together, and a text passed under the tag's name replaces them all."""
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("\n".join(f"c {n}\n s {n}" for n in range(i * 10, i * 10 + 10)))
+    plan = compile_template(f'<input load="file" url="{tmp_path}" name="one" groups="g"/>\n<group name="g*" input="one">\nc {{{{ a | to_int }}}}\n s {{{{ b | to_int }}}}\n</group>')
+    assert sorted((r.a, r.b) for r in plan.records(plan.inputs(spark)).collect()) == [(n, n) for n in range(30)]
+    assert [(r.input, r.a) for r in plan.records(plan.inputs(spark, {"one": "c 7"})).collect()] == [("one", 7)]
+    one = compile_template(f'<input load="file" url="{tmp_path}/1.txt" name="one"/>\n<group name="g*">\nc {{{{ a }}}}\n</group>')
+    assert {r.input for r in one.records(one.inputs(spark)).collect()} == {"one"}
+
+
 def test_lookup_in_a_large_frame(spark, monkeypatch):
     from textplan.plans import plan as plans
     from textplan.sources.readers import lookup_table
