@@ -517,6 +517,28 @@ def test_unrange_and_truncate_bounds(spark):
     assert [one(f"truncate({n})", "éaß") for n in (1, 2, 3, 4, 5, 9)] == ["", "é", "éa", "éa", "éaß", "éaß"]
 
 
+def test_place_among_chunk_starts_is_searched_by_halves(spark):
+    """A row asks for a few of the chunks' starts, however many there are."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from textplan.sources.joins import as_of, count_up_to
+
+    for starts in ([], [3], [None, 1, 1, 4], [0, 2, 4, 6, 8, 10, 12]):
+        df = spark.createDataFrame([(v, starts) for v in [None, *range(-1, 14)]], "v int, s array<int>")
+        got = {r.v: r.n for r in df.select("v", count_up_to("s", F.col("v"), len(starts)).alias("n")).collect() if r.v is not None}
+        known = [x for x in starts if x is not None]
+        if None not in starts:
+            assert got == {v: bisect.bisect_right(known, v) for v in range(-1, 14)}
+        df = spark.createDataFrame([(v, starts) for v in [None, *range(-1, 14)]], "v int, s array<int>").select("v", F.transform("s", lambda x: F.struct(x.alias("v"))).alias("s"))
+        got = {r.v: r.n for r in df.select("v", count_up_to("s", F.struct("v"), len(starts)).alias("n")).collect()}
+        assert got == {v: sum(x is None or v is not None and x <= v for x in starts) for v in [None, *range(-1, 14)]}
+    out = as_of(spark.range(100).selectExpr("'a' as input", "id as k", "if(id % 7 = 0, id, null) as v"), "k", "v")
+    assert "filter(_starts" not in out._jdf.queryExecution().analyzed().toString()
+    assert {r.k: r.v for r in out.collect()} == {k: k // 7 * 7 for k in range(100)}
+
+
 def test_search_join_by_fixed_text(spark):
     import fnmatch
 

@@ -317,7 +317,7 @@ def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("recorded_values_all", "SELECT event_id, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events")
 def recorded_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An as-of value over one input of all events, in chunks."""
-    e = table(spark, sf_dir, "events").select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
+    e = spread(table(spark, sf_dir, "events")).select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
     return as_of(e, "event_id", "mark").select("event_id", "mark")
 
 
