@@ -17,7 +17,7 @@ from .functions import inputs as input_functions
 from .functions import outputs as output_functions
 from .operators.lines import to_lines
 from .plans.plan import LITERAL_ROWS, compile_template
-from .registry import QUERIES, SQL, query, spread, table
+from .registry import QUERIES, SQL, dealt, query, table
 from .sources.joins import as_of, lookup_join, search_join
 from .sources.readers import as_text, lookup_table
 from .sources.scratch import shared_dir
@@ -38,7 +38,7 @@ def lineitem_line():
 
 def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line of text for each line item."""
-    t = spread(table(spark, sf_dir, "lineitem"))
+    t = dealt(spark, sf_dir, "lineitem")
     return t.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input"), lineitem_line().alias("text"))
 
 
@@ -149,7 +149,7 @@ def group_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("braces_in_text", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
 def braces_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("input"), F.col("props").alias("text"))
+    t = dealt(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("input"), F.col("props").alias("text"))
     return compile_template('<group name="e">\n{"k": {{ k | DIGIT | to_int }}}\n</group>').records(t).select(F.col("input").cast("bigint").alias("event_id"), "k")
 
 
@@ -187,13 +187,13 @@ def mark(r):
 <group name="c" macro="mark" fields="long boolean">
 customer {{ custkey | to_int }} {{ segment }} {{ short | macro("short") }}
 </group>"""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.format_string("customer %d %s %s", "c_custkey", "c_mktsegment", "c_mktsegment").alias("text"))
+    c = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.format_string("customer %d %s %s", "c_custkey", "c_mktsegment", "c_mktsegment").alias("text"))
     return compile_template(t).records(c).select("custkey", "long", "short")
 
 
 @query("lineage_spans", "SELECT c_custkey AS custkey, CAST(9 AS INTEGER) AS start, CAST(9 + length(CAST(c_custkey AS VARCHAR)) AS INTEGER) AS stop FROM customer")
 def lineage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.format_string("customer %d", "c_custkey").alias("text"))
+    c = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.format_string("customer %d", "c_custkey").alias("text"))
     r = compile_template('<group name="c">\ncustomer {{ n }}\n</group>').lineage(c)
     return r.select(F.col("input").cast("bigint").alias("custkey"), F.col("spans")["n"]["start"].alias("start"), F.col("spans")["n"]["stop"].alias("stop"))
 
@@ -239,7 +239,7 @@ CUSTOMER = "customer {{ custkey | to_int }} "
 
 
 def customer_lines(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.format_string("customer %d ", "c_custkey"), F.expr(value)).alias("text"))
+    return dealt(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.format_string("customer %d ", "c_custkey"), F.expr(value)).alias("text"))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> dict[str, Any]:
@@ -263,7 +263,7 @@ def lookup_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_table_join", "SELECT o_orderkey AS orderkey, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def lookup_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("input"), F.format_string("order %d of %d", "o_orderkey", "o_custkey").alias("text"))
+    o = dealt(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("input"), F.format_string("order %d of %d", "o_orderkey", "o_custkey").alias("text"))
     r = compile_template('<group name="o">\norder {{ orderkey | to_int }} of {{ cust }}\n</group>').records(o)
     return lookup_join(r, "cust", lookup_table(table(spark, sf_dir, "customer"), "c_custkey", "c_name"), "name").select("orderkey", "name")
 
@@ -317,13 +317,13 @@ def recorded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("recorded_values_all", "SELECT event_id, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events")
 def recorded_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An as-of value over one input of all events, in chunks."""
-    e = spread(table(spark, sf_dir, "events")).select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
+    e = dealt(spark, sf_dir, "events").select(F.lit("all").alias("input"), "event_id", F.expr("case when event_id % 10 = 0 then event_id end").alias("mark"))
     return as_of(e, "event_id", "mark").select("event_id", "mark")
 
 
 @query("extract_commands", "SELECT c_custkey AS custkey, 'seg ' || c_mktsegment AS out FROM customer")
 def extract_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.lit("r1#show clock\n12:00\nr1#show seg\nseg "), "c_mktsegment", F.lit("\nr1#exit")).alias("text"))
+    c = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.lit("r1#show clock\n12:00\nr1#show seg\nseg "), "c_mktsegment", F.lit("\nr1#exit")).alias("text"))
     return c.select(F.col("input").cast("bigint").alias("custkey"), F.regexp_replace(input_functions.extract_commands(F.col("text"), "show seg"), r"\n+$", "").alias("out"))
 
 
@@ -367,7 +367,7 @@ _GROUP_SQL = "SELECT c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegme
 
 def _group_query(name: str, tag: str, sql: str, fields: list[str], select: list[str] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = table(spark, sf_dir, "customer")
+        t = dealt(spark, sf_dir, "customer")
         text = t.select(F.col("c_custkey").cast("string").alias("input"), F.concat_ws("\n", F.format_string("n %d", "c_custkey"), F.when(F.col("c_custkey") % 3 == 0, F.format_string(" d %s", "c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.format_string(" m %d", "c_nationkey"))).alias("text"))
         variables = {"seg": "BUILDING", "rules": {"m": {"required": True, "type": "integer", "max": 10}, "d": {"allowed": ["BUILDING", "MACHINERY"]}}}
         plan = compile_template(f'<group name="g" {tag}>\nn {{{{ n | to_int }}}}\n d {{{{ d }}}}\n m {{{{ m }}}}\n</group>', variables=variables)
@@ -432,7 +432,7 @@ def _match_query(name: str, calls: str, sql: str, value: str = "c_mktsegment", w
     template = '<group name="g">\n' + line % (f" | {calls}" if calls else "") + "\n</group>"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.lit("v "), F.expr(value)).alias("text"))
+        text = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("input"), F.concat(F.lit("v "), F.expr(value)).alias("text"))
         return compile_template(template, variables={"suffix": "ING", "fix": ["append('!')", "lower"]}).records(text).select(F.col("input").cast("bigint").alias("id"), F.expr(out).alias("x"))
 
     query(f"match_{name}", f"SELECT id, {sql} AS x FROM (SELECT c_custkey AS id, {value.replace('AS STRING', 'AS VARCHAR')} AS v FROM customer) WHERE {where}")(run)
