@@ -517,6 +517,22 @@ def test_unrange_and_truncate_bounds(spark):
     assert [one(f"truncate({n})", "éaß") for n in (1, 2, 3, 4, 5, 9)] == ["", "é", "éa", "éa", "éaß", "éaß"]
 
 
+@pytest.mark.parametrize("name", ["start_markers", "start_end_blocks"])
+def test_tasks_that_sort_lines_grow_with_the_tables(spark, monkeypatch, name):
+    """Their number follows the bytes of the tables, and is not cut again by the shuffle's; the empty key adds no second shuffle."""
+    import re
+
+    from tests.oracle import DATA
+    from textplan import queries
+    from textplan.operators import segment
+
+    monkeypatch.setattr(segment, "TASK_BYTES", 1 << 12)
+    plan = queries.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    by_num = [(c, int(n)) for c, n in re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert [c for c, _ in by_num] == ["input", "o_custkey", "o_orderkey"] and min(n for _, n in by_num) > 4, by_num
+    assert plan.count("Exchange hashpartitioning(input") == (2 if name == "start_end_blocks" else 1)
+
+
 def test_place_among_chunk_starts_is_searched_by_halves(spark):
     """A row asks for a few of the chunks' starts, however many there are."""
     import bisect

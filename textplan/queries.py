@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import inputs as input_functions
 from .functions import outputs as output_functions
 from .operators.lines import to_lines
+from .operators.segment import evenly
 from .plans.plan import LITERAL_ROWS, compile_template
 from .registry import QUERIES, SQL, dealt, query, table
 from .sources.joins import as_of, lookup_join, search_join
@@ -72,9 +73,9 @@ def default_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their lines, one text a customer."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit(" line "), x["l_linenumber"].cast("string"), F.lit(" part "), x["l_partkey"].cast("string"))), "\n").alias("lines"))
+    lines = evenly(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey"), "o_orderkey").groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit(" line "), x["l_linenumber"].cast("string"), F.lit(" part "), x["l_partkey"].cast("string"))), "\n").alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.concat_ws("\n", F.concat(F.lit("order "), number("o_orderkey"), F.lit(" status "), "o_orderstatus"), "lines").alias("s"))
-    return orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "s"))), lambda x: x["s"]), "\n").alias("text")).select(F.col("o_custkey").cast("string").alias("input"), "text")
+    return evenly(orders, "o_custkey").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "s"))), lambda x: x["s"]), "\n").alias("text")).select(F.col("o_custkey").cast("string").alias("input"), "text")
 
 
 TREE = '<group name="orders*">\norder {{ orderkey | to_int }} status {{ status }}\n<group name="lines*">\n line {{ line | to_int }} part {{ part | to_int }}\n</group>\n</group>'
