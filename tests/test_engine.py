@@ -533,6 +533,26 @@ def test_tasks_that_sort_lines_grow_with_the_tables(spark, monkeypatch, name):
     assert plan.count("Exchange hashpartitioning(input") == (2 if name == "start_end_blocks" else 1)
 
 
+def test_fold_of_batches_equals_its_steps(spark):
+    """Members that join an open record without a step get the record that a step gives them."""
+    import random
+
+    from textplan.operators.segment import Fold, Roles, segment
+
+    r = random.Random(3)
+    for roles in (Roles(4, frozenset({0}), frozenset({0}), frozenset({3})), Roles(4, frozenset({1, 2}), frozenset({2}), frozenset({3})), Roles(4, frozenset({0, 3}), frozenset({0}), frozenset({3}))):
+        rows = [(i, line, p) for i in "ab" for line in range(60) for p in sorted(r.sample(range(4), r.choice([0, 1, 1, 1, 2])))]
+        want = []
+        for name in "ab":
+            fold, own = Fold(roles), [x for x in rows if x[0] == name]
+            for j, (_, line, p) in enumerate(own):
+                ahead = [(q, q in roles.ends | roles.markers) for _, at, q in own[j + 1 :] if at == line]
+                rec = fold.step(p, line, {}, False, ahead)
+                want += [(name, line, p, rec)] if rec is not None else []
+        df = spark.createDataFrame(rows, "input string, line_no long, p int").selectExpr("input", "cast(array() as array<bigint>) as key", "line_no", "p")
+        assert sorted((x.input, x.line_no, x.p, x.rec) for x in segment(df, roles).collect()) == want
+
+
 def test_place_among_chunk_starts_is_searched_by_halves(spark):
     """A row asks for a few of the chunks' starts, however many there are."""
     import bisect
